@@ -23,6 +23,8 @@ REGISTERS = BANDS * ROWS
 B, A, Q = 1.001, 20.0, 65534
 #: Members that one task compares with one representative.
 FAN = 256
+#: Members of a bucket's rest that are held while the bucket streams by.
+BLOCK = 512
 
 _NOT_SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -170,6 +172,74 @@ def _confirm(percent: int):
     return run
 
 
+def _set_rows(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    hashes = Hashes()
+    for ids, prints, texts in arrow_rows(batches, "cid", "print", "text"):
+        sets = shingle_sets(texts, hashes)
+        ok = [k for k, s in enumerate(sets) if fingerprint(s) == prints[k]]  # else another text under the same doc_id
+        yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in ok], pa.int64()), pa.array([sets[k].tobytes() for k in ok], pa.binary())], ["cid", "elements"])
+
+
+def _compare_rest(percent: int):
+    """Streams rows sorted by (band, key, block, role): a block of a bucket's rest is held while the whole bucket passes by.
+
+    Pairs are compared in the first band that they share, by sketches and then by whole sets; links within a tree that the
+    task already has are not needed and not emitted.
+    """
+    share = percent / 100
+    least = REGISTERS * share - 5.5 * np.sqrt(REGISTERS * share * (1 - share))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        at, held, parent = None, [], {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        def against(band: int, chunk: list[tuple]) -> Iterator[tuple[int, int]]:
+            """Rows are (cid, component, main, registers, elements)."""
+            regs = np.stack([h[3] for h in held])
+            sizes = np.array([len(h[4]) for h in held])
+            for cid, component, main, row, elements in chunk:
+                n = len(elements)
+                equal = regs == row
+                ok = (equal.sum(1) >= least) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+                for k in np.flatnonzero(ok).tolist():
+                    a, ca, _, _, own = held[k]
+                    if ca == component or (component != main and a >= cid) or root(ca) == root(component):
+                        continue
+                    if int(np.argmax(equal[k].reshape(BANDS, ROWS).all(1))) != band:
+                        continue
+                    both = len(own & elements)
+                    if 100 * both >= percent * (len(own) + n - both):
+                        parent[root(ca)] = root(component)
+                        yield a, cid
+
+        names = ("band", "key", "block", "role", "cid", "component", "main", "sketch", "elements")
+        for cols in arrow_rows(batches, *names):
+            out: list[tuple[int, int]] = []
+            chunk: list[tuple] = []
+            for band, key, block, role, cid, component, main, regs, elements in zip(*cols, strict=True):
+                if at != (band, key, block):
+                    if chunk and held:
+                        out += against(at[0], chunk)
+                    at, held, chunk = (band, key, block), [], []
+                    parent.clear()
+                row = (cid, component, main, np.frombuffer(regs, dtype=np.uint16), frozenset(np.frombuffer(elements, dtype=np.uint64).tolist()))
+                (held if role == 0 else chunk).append(row)
+            if chunk and held:
+                out += against(at[0], chunk)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs(doc_id, text)``.
 
@@ -180,8 +250,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Copies of a set become one class before anything is compared. In each band bucket, members are first compared with
     representatives only (the class of the smallest id in even bands, a band's own pseudo-random one in odd bands); links
-    make components; then whatever lies in another component than most of its bucket is compared with all of the rest of the
-    bucket. So no group is expanded into all of its pairs, yet every candidate pair ends in one component or is compared.
+    make components; then whatever lies in another component than most of its bucket is compared, in blocks, with all of
+    the bucket that streams by. So no group is expanded into all of its pairs, yet every candidate pair ends in one component or is compared.
     Work beyond the input is in proportion to band rows (32 narrow rows a class) and to texts of candidates.
     """
     spark = docs.sparkSession
@@ -202,7 +272,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         ends = ends.join(sizes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y")), "b")
         ends = ends.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         likely = materialize(ends.mapInArrow(_likely(percent / 100 - 0.25), "a long, b long"), "near")
-        salted = likely.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.count("*").over(Window.partitionBy("a")) / FAN)))
+        fans = likely.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("fan"))
+        salted = likely.join(fans, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("fan")))
         hubs = salted.select(F.col("a").alias("hub"), "salt", F.col("a").alias("id"), F.lit(0).alias("role")).distinct()
         rows = hubs.union(salted.select(F.col("a").alias("hub"), "salt", F.col("b").alias("id"), F.lit(1).alias("role")))
         wanted = live.select(F.col("cid").alias("id"), "doc", "print").join(rows.select("id").distinct(), "id", "left_semi")
@@ -216,14 +287,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     known = buckets.join(met, buckets["cid"] == met["id"], "left").select("band", "key", "cid", "n", F.coalesce("component", "cid").alias("component"))
     known = materialize(known, "near")
     per = known.groupBy("band", "key", "component").agg(F.count("*").alias("c"))
-    main = per.groupBy("band", "key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main")).where("parts > 1")
-    mixed = known.join(main.select("band", "key", "main"), ["band", "key"])
-    rest = mixed.where("component <> main").select("band", "key", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    others = mixed.select("band", "key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("main").alias("mb"))
-    pairs = rest.join(others, ["band", "key"]).where(F.col("ca") != F.col("cb"))
-    pairs = pairs.where((F.col("cb") == F.col("mb")) | (F.col("a") < F.col("b"))).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = materialize(verify(pairs), "near")
+    main = per.groupBy("band", "key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main"), (F.sum("c") - F.max("c")).alias("rest")).where("parts > 1")
+    mixed = materialize(known.join(main.select("band", "key", "main", F.ceil(F.col("rest") / BLOCK).alias("blocks")), ["band", "key"]), "near")
+    wanted = live.select("cid", "doc", "print").join(mixed.select("cid").distinct(), "cid", "left_semi")
+    found = texts.join(wanted, texts["doc_id"] == wanted["doc"]).select("cid", "print", "text")
+    sets = materialize(found.mapInArrow(_set_rows, "cid long, elements binary").dropDuplicates(["cid"]).join(live.select("cid", "sketch"), "cid"), "near")
+    whole = F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block")
+    rest = F.lit(0).alias("role"), F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block")
+    base = ["band", "key", "cid", "component", "main"]
+    rows = mixed.where("component <> main").select(*base, *rest).union(mixed.select(*base, *whole)).join(sets, "cid")
+    rows = rows.repartition(n_partitions(spark), "band", "key", "block").sortWithinPartitions("band", "key", "block", "role")
+    more = materialize(rows.select(*base, "role", "block", "elements", "sketch").mapInArrow(_compare_rest(percent), "a long, b long"), "near")
     ends = components(links.union(more))
     named = classes.select("print", "doc", "cid").join(ends, classes["cid"] == ends["id"], "left").withColumn("of", F.coalesce("component", "cid"))
     lows = named.where("component is not null").groupBy("of").agg(F.min("doc").alias("low"))
