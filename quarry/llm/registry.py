@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import near_dup, packing, secrets, sharding, token_counts
+from quarry.llm import decontamination, embedding_dup, licenses, lm_scores, near_dup, packing, quality, secrets, sharding, token_counts
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -19,8 +19,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, _table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.score(_table(spark, sf_dir, "documents"))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +52,35 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), limit=4096)
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op6_minhash_near_dedup, op7_sharding, op8_secret_scans, op10_token_counts)
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination,
+        op2_best_fit_packing,
+        op3_quality_classifier,
+        op4_license_scans,
+        op5_lm_scoring,
+        op6_minhash_near_dedup,
+        op7_sharding,
+        op8_secret_scans,
+        op9_embedding_near_dedup,
+        op10_token_counts,
+        pipeline,
+    )
 }
 
-ORACLES: dict[str, str] = {"op6_minhash_near_dedup": near_dup.oracle(85), "op7_sharding": sharding.oracle(16)}
+ORACLES: dict[str, str] = {"op6_minhash_near_dedup": near_dup.oracle(85), "op7_sharding": sharding.oracle(16), "op9_embedding_near_dedup": embedding_dup.oracle(0.93)}
