@@ -44,7 +44,7 @@ def build(edges: DataFrame) -> DataFrame:
 def stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     n, e = vertices.agg(F.count("*").alias("n")), edges.agg(F.count("*").alias("n"))
     v = n.select("n").scalar()
-    return e.select(v.alias("n_vertices"), F.col("n").alias("n_edges"), F.round(F.col("n") / (v * (v - 1)), 9).alias("density"))
+    return e.select(v.alias("n_vertices"), F.col("n").alias("n_edges"), F.round(F.try_divide(F.col("n"), v * (v - 1)), 9).alias("density"))
 
 
 def reverse(vertices: DataFrame, edges: DataFrame) -> DataFrame:

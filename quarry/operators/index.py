@@ -34,7 +34,7 @@ def corpus_stats(docs: DataFrame, analyzer: str = "main") -> DataFrame:
     """One row: documents, tokens and the mean length."""
     a = analyzed(docs, analyzer).select(F.size("ts").alias("dl"))
     total = F.coalesce(F.sum("dl"), F.lit(0))
-    return a.agg(F.count("*").alias("n_docs"), total.alias("n_tokens"), F.coalesce(total / F.count("*"), F.lit(0.0)).alias("avg_length"))
+    return a.agg(F.count("*").alias("n_docs"), total.alias("n_tokens"), F.coalesce(F.try_divide(total, F.count("*")), F.lit(0.0)).alias("avg_length"))
 
 
 def dictionary(docs: DataFrame, analyzer: str = "main") -> DataFrame:

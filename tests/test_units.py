@@ -46,7 +46,7 @@ def test_dictionary(spark):
     assert [r["term"] for r in words.fuzzy(t, "jav", 1).collect()] == ["jar", "java"]
     assert words.lookup(t, F.col("term"), "java").first().asDict() == {"found": True, "idx": 2}
     assert words.lookup(t.limit(0), F.col("term"), "java").first().asDict() == {"found": False, "idx": -1}
-    assert words.prefixes(t).count() == 13
+    assert words.prefixes(t).count() == 14
     assert [r["term"] for r in words.expand(t, ["long", "query"]).collect()] == ["long", "query"]
 
 
