@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quarry.session import settle
+from quarry.session import discard, settle
 
 
 @contextmanager
@@ -36,6 +36,19 @@ def _settled(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
     return out, seen.get
 
 
+class _Rounds:
+    """The state of a loop: each round is written, and then the round before is deleted."""
+
+    def __init__(self) -> None:
+        self.last: DataFrame | None = None
+
+    def step(self, df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+        out, seen = _settled(df, **figures)
+        discard(self.last)
+        self.last = out
+        return out, seen
+
+
 def build(edges: DataFrame) -> DataFrame:
     """(id): vertices are the ends of edges."""
     return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
@@ -47,10 +60,14 @@ def stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return e.select(v.alias("n_vertices"), F.col("n").alias("n_edges"), F.round(F.try_divide(F.col("n"), v * (v - 1)), 9).alias("density"))
 
 
-def reverse(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, n_in, sources): who links to each vertex; vertices without links stay."""
-    ins = edges.groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_list("src")).alias("sources"))
-    return vertices.join(ins, "id", "left").select("id", F.coalesce(F.size("sources"), F.lit(0)).cast("long").alias("n_in"), "sources")
+def reverse(vertices: DataFrame, edges: DataFrame, part: int = 1000) -> DataFrame:
+    """(id, part, n_in, sources): who links to each vertex; vertices without links stay, with part 0.
+
+    A list holds the sources of one range of ``part`` ids, so that those of a hot vertex are many rows, made by many tasks.
+    """
+    ins = edges.groupBy(F.col("dst").alias("id"), F.floor(F.col("src") / part).alias("part")).agg(F.array_sort(F.collect_list("src")).alias("sources"))
+    out = vertices.join(ins, "id", "left")
+    return out.select("id", F.coalesce("part", F.lit(0)).cast("long").alias("part"), F.coalesce(F.size("sources"), F.lit(0)).cast("long").alias("n_in"), "sources")
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, norm: str = "max", most: int = 100, seeds: list[int] | None = None, redistribute: bool = False) -> tuple[DataFrame, list[float]]:
@@ -72,12 +89,13 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, toler
     with bucketed(edges.join(degree, "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("share")), "src") as links:
         base = settle(vertices.join(degree.select(F.col("src").alias("id"), "degree"), "id", "left").select("id", home.alias("home"), F.col("degree").isNull().alias("loose")))
         state = base.withColumn("rank", F.col("home") if seeds is not None else F.lit(1.0 / n))
+        rounds = _Rounds()
         for _ in range(most):
             lost = state.agg(F.coalesce(F.sum(F.when(F.col("loose"), F.col("rank"))), F.lit(0.0)).alias("x")).first()["x"] if redistribute else 0.0
             inflow = links.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("inflow"))
             new = F.col("home") * (1 - damping) + damping * (F.coalesce("inflow", F.lit(0.0)) + F.col("home") * lost)
             step = state.join(inflow, "id", "left").select("id", "home", "loose", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
-            state, seen = _settled(step, change=F.max("change") if norm == "max" else F.sum("change"))
+            state, seen = rounds.step(step, change=F.max("change") if norm == "max" else F.sum("change"))
             state = state.drop("change")
             history.append(seen["change"])
             if history[-1] < tolerance:
@@ -105,19 +123,19 @@ def distances(edges: DataFrame, source: int, weight: str | None = "weight", most
     state = spark.createDataFrame([(source, 0)], "id long, distance long").select("id", F.col("distance").cast(kind).alias("distance"), F.lit(0).cast("long").alias("hops"), F.lit(True).alias("fresh"))
     limit = most
     with bucketed(edges.select("src", "dst", w.alias("w")), "src") as links:
-        rounds = 0
+        n, states = 0, _Rounds()
         while True:
             reached = links.join(state.where("fresh").select(F.col("id").alias("src"), "distance", "hops"), "src")
             offers = reached.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("distance") + F.col("w")).alias("distance"), (F.col("hops") + 1).alias("hops"))).alias("offer"))
             better = F.col("offer").isNotNull() & (F.col("distance").isNull() | (F.col("offer.distance") < F.col("distance")))
             step = state.drop("fresh").join(offers, "id", "full_outer").select("id", F.when(better, F.col("offer.distance")).otherwise(F.col("distance")).alias("distance"), F.when(better, F.col("offer.hops")).otherwise(F.col("hops")).alias("hops"), better.alias("fresh"))
-            state, seen = _settled(step, fresh=F.count_if("fresh"), n=F.count("*"))
-            rounds += 1
+            state, seen = states.step(step, fresh=F.count_if("fresh"), n=F.count("*"))
+            n += 1
             if not seen["fresh"]:
                 return state.drop("fresh"), False
-            if limit is not None and rounds >= limit:
+            if limit is not None and n >= limit:
                 return state.drop("fresh"), False
-            if rounds > seen["n"]:
+            if n > seen["n"]:
                 return state.drop("fresh"), True
 
 
@@ -134,13 +152,14 @@ def best_paths(edges: DataFrame, sources: DataFrame, weight: str = "weight") ->
     start = sources.select("origin", F.col("origin").alias("id"), F.struct(F.lit(0.0).alias("distance"), F.array("origin").alias("path")).alias("best"), F.lit(True).alias("fresh"))
     state = settle(start)
     with bucketed(edges.select("src", "dst", F.col(weight).cast("double").alias("w")), "src") as links:
+        rounds = _Rounds()
         while True:
             reached = links.join(state.where("fresh").select("origin", F.col("id").alias("src"), "best"), "src")
             offer = F.struct((F.col("best.distance") + F.col("w")).alias("distance"), F.concat("best.path", F.array("dst")).alias("path"))
             offers = reached.select("origin", F.col("dst").alias("id"), offer.alias("offer")).groupBy("origin", "id").agg(F.min("offer").alias("offer"))
             better = F.col("offer").isNotNull() & (F.col("best").isNull() | (F.col("offer") < F.col("best")))
             step = state.drop("fresh").join(offers, ["origin", "id"], "full_outer").select("origin", "id", F.when(better, F.col("offer")).otherwise(F.col("best")).alias("best"), better.alias("fresh"))
-            state, seen = _settled(step, fresh=F.count_if("fresh"))
+            state, seen = rounds.step(step, fresh=F.count_if("fresh"))
             if not seen["fresh"]:
                 return state.select("origin", "id", "best.distance", "best.path")
 
@@ -149,11 +168,12 @@ def _spread(links: DataFrame, labels: DataFrame, largest: bool = True) -> DataFr
     """Labels that reach each vertex along edges: the largest (or smallest), by rounds until nothing changes."""
     agg, pick = (F.max, F.greatest) if largest else (F.min, F.least)
     state = labels.select("id", "label", F.lit(True).alias("fresh"))
+    rounds = _Rounds()
     while True:
         offers = links.join(state.where("fresh").select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(agg("label").alias("offer"))
         new = F.coalesce(pick("label", "offer"), F.col("label"))
         step = state.drop("fresh").join(offers, "id", "left").select("id", new.alias("label"), (new != F.col("label")).alias("fresh"))
-        state, seen = _settled(step, fresh=F.count_if("fresh"))
+        state, seen = rounds.step(step, fresh=F.count_if("fresh"))
         if not seen["fresh"]:
             return state.select("id", "label")
 
@@ -240,10 +260,11 @@ def longest_paths(edges: DataFrame, weights: DataFrame, source: int) -> DataFram
     spark = edges.sparkSession
     state = spark.createDataFrame([(source, 0.0, True)], "id long, total double, fresh boolean")
     with bucketed(edges.join(weights.select(F.col("id").alias("dst"), "weight"), "dst").select("src", "dst", F.col("weight").cast("double").alias("w")), "src") as links:
+        rounds = _Rounds()
         while True:
             offers = links.join(state.where("fresh").select(F.col("id").alias("src"), "total"), "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.col("total") + F.col("w")).alias("offer"))
             better = F.col("offer").isNotNull() & (F.col("total").isNull() | (F.col("offer") > F.col("total")))
-            state, seen = _settled(state.drop("fresh").join(offers, "id", "full_outer").select("id", F.when(better, F.col("offer")).otherwise(F.col("total")).alias("total"), better.alias("fresh")), fresh=F.count_if("fresh"))
+            state, seen = rounds.step(state.drop("fresh").join(offers, "id", "full_outer").select("id", F.when(better, F.col("offer")).otherwise(F.col("total")).alias("total"), better.alias("fresh")), fresh=F.count_if("fresh"))
             if not seen["fresh"]:
                 return state.select("id", "total")
 

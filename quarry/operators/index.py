@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens, vbyte_length
+from quarry.operators.ranking import sliced_rank
 
 
 def analyzed(docs: DataFrame, analyzer: str = "main", text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -59,8 +60,7 @@ def posting_sizes(posting_rows: DataFrame, slice_rows: int = 4096) -> DataFrame:
     return out.select("term", "n_postings", (F.col("n_postings") * 8).alias("raw_bytes"), F.col("gap_bytes").cast("long").alias("gap_bytes"))
 
 
-def skip_pointers(posting_rows: DataFrame) -> DataFrame:
+def skip_pointers(posting_rows: DataFrame, slice_rows: int = 4096) -> DataFrame:
     """Every floor(sqrt(n))-th posting of a term by document id: (term, idx, doc_id)."""
-    w = Window.partitionBy("term")
-    ranked = posting_rows.select("term", "doc_id", (F.row_number().over(w.orderBy("doc_id")) - 1).alias("idx"), F.count("*").over(w).alias("n"))
-    return ranked.where(F.col("idx") % F.floor(F.sqrt("n")) == 0).select("term", F.col("idx").cast("long").alias("idx"), "doc_id")
+    ranked = sliced_rank(posting_rows.select("term", "doc_id"), ["term"], F.floor(F.col("doc_id") / slice_rows), [F.col("doc_id")], "idx")
+    return ranked.where(F.col("idx") % F.floor(F.sqrt("n_group")) == 0).select("term", "idx", "doc_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,17 +32,27 @@ def ranked(rows: DataFrame, score: str, key: str, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)).cast("long"))
 
 
+def sliced_rank(rows: DataFrame, group: list[str], cut: Column, order: list, name: str = "rank") -> DataFrame:
+    """Adds the place, from 0, of each row within its group by ``order``, and ``n_group``, the size of the group.
+
+    ``cut`` is a coarse non-decreasing form of the order. Slices are counted first, and the counts before a slice are added to
+    the place within it: no group, however large, is sorted in one task.
+    """
+    sliced = rows.withColumn("cut_", cut)
+    counts = sliced.groupBy(*group, "cut_").agg(F.count("*").alias("n_"))
+    w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    before = counts.select(*group, "cut_", (F.sum("n_").over(w.orderBy("cut_")) - F.col("n_")).alias("before_"), F.sum("n_").over(w).alias("n_group"))
+    place = F.row_number().over(Window.partitionBy(*group, "cut_").orderBy(*order)) - 1
+    return sliced.join(before, [*group, "cut_"]).withColumn(name, (F.col("before_") + place).cast("long")).drop("cut_", "before_")
+
+
 def ranked_all(rows: DataFrame, score: str, key: str, step: float = 1 / 256) -> DataFrame:
     """All rows with their rank from 1, best first, without a sort of all rows in one task.
 
-    Rows are counted in slices of the score first; the running sum over slices, of which there are at most (range / step),
-    is added to the rank within a slice.
+    Slices are ``step`` wide, so there are at most (range / step) of them.
     """
-    cut = rows.withColumn("cut", F.floor(F.col(score) / step))
-    counts = cut.groupBy("cut").agg(F.count("*").alias("n"))
-    before = counts.select("cut", (F.sum("n").over(Window.orderBy(F.desc("cut"))) - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("cut").orderBy(F.desc(score), key))
-    return cut.join(before, "cut").withColumn("rank", (F.col("before") + place).cast("long")).drop("cut", "before")
+    out = sliced_rank(rows, [], -F.floor(F.col(score) / step), [F.desc(score), F.col(key)])
+    return out.withColumn("rank", F.col("rank") + 1).drop("n_group")
 
 
 def complexity(rows: DataFrame, group: str, size: str, time: str) -> DataFrame:

@@ -13,10 +13,12 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.ranking import sliced_rank
 
-def positions(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Adds ``idx``, from 0, within the group."""
-    return rows.withColumn("idx", (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("long"))
+
+def positions(rows: DataFrame, group: str, order: list[str], cut: Column) -> DataFrame:
+    """Adds ``idx``, from 0, within the group; ``cut`` is a coarse non-decreasing form of the order."""
+    return sliced_rank(rows, [group], cut, [F.col(c) for c in order], "idx").drop("n_group")
 
 
 def running_sum(rows: DataFrame, group: str, order: list[str], value: str, cut: Column, name: str = "running") -> DataFrame:

@@ -57,10 +57,10 @@ def graph_stats(spark, sf_dir):
     return graph.stats(vertices(spark, sf_dir), links(spark, sf_dir))
 
 
-@query(f"with {E} select id, count(src) as n_in, array_to_string(list(src order by src) filter (src is not null), ',') as sources from v left join e on dst = id group by id")
+@query(f"with {E} select id, coalesce(src // 1000, 0)::bigint as part, count(src) as n_in, array_to_string(list(src order by src) filter (src is not null), ',') as sources from v left join e on dst = id group by 1, 2")
 def reverse_link_graph(spark, sf_dir):
     r = graph.reverse(vertices(spark, sf_dir), links(spark, sf_dir))
-    return r.select("id", "n_in", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"))
+    return r.select("id", "part", "n_in", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"))
 
 
 @query(f"{_ranks()} select id, round(rank, 9) as rank from ranks")

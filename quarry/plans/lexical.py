@@ -86,7 +86,7 @@ def bool_and_lenient(spark, sf_dir):
     return lexical.bool_and_lenient(docs(spark, sf_dir), MISSING)
 
 
-@query(f"with {tokens_cte('alnum')} select doc_id from tf where term = 'tion' intersect select doc_id from tf where term = 'rewh'")
+@query(f"with {tokens_cte('alnum')} select doc_id from tf where term = '{TWO[0]}' intersect select doc_id from tf where term = '{TWO[1]}'")
 def bool_and_ids(spark, sf_dir):
     return lexical.TermQuery(docs(spark, sf_dir), TWO, "alnum").all_of().select("doc_id")
 

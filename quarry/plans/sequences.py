@@ -32,7 +32,7 @@ _RANGE = "select u.user_id, u.low, u.high, round(coalesce(sum(v), 0), 6) as tota
 
 @query(f"with {S}, x as (select user_id, idx, value as v from s) {_RANGE}")
 def range_aggregate(spark, sf_dir):
-    rows = sequence.positions(events(spark, sf_dir), "user_id", ORDER)
+    rows = sequence.positions(events(spark, sf_dir), "user_id", ORDER, F.to_date("ts"))
     return sequence.range_aggregate(rows, _ranges(rows), "user_id", "value").withColumn("total", F.round("total", 6))
 
 
@@ -41,7 +41,7 @@ def range_aggregate_updated(spark, sf_dir):
     """As before, after the values of error events have been assigned anew."""
     e = events(spark, sf_dir)
     updates = e.where("event_type = 'error'").select("event_id", (F.col("value") * 2).alias("assigned"))
-    rows = sequence.positions(e, "user_id", ORDER).join(updates, "event_id", "left").withColumn("value", F.coalesce("assigned", "value"))
+    rows = sequence.positions(e, "user_id", ORDER, F.to_date("ts")).join(updates, "event_id", "left").withColumn("value", F.coalesce("assigned", "value"))
     return sequence.range_aggregate(rows, _ranges(rows), "user_id", "value").withColumn("total", F.round("total", 6))
 
 
@@ -54,7 +54,7 @@ def prefix_sum(spark, sf_dir):
 @query(f"with {S} select user_id, round(sum(value), 4) as total from s where idx between 10 and 20 group by user_id")
 def range_sum(spark, sf_dir):
     """The sum of places 10 to 20 as a difference of two running sums; users with ten values or fewer have none."""
-    rows = sequence.positions(events(spark, sf_dir), "user_id", ORDER)
+    rows = sequence.positions(events(spark, sf_dir), "user_id", ORDER, F.to_date("ts"))
     sums = sequence.running_sum(rows, "user_id", ORDER, "value", F.to_date("ts")).where("idx between 9 and 20").groupBy("user_id")
     got = sums.agg(F.max("idx").alias("last"), F.max_by("running", "idx").alias("upper"), F.min_by("running", "idx").alias("lower"))
     return got.where("last >= 10").select("user_id", F.round(F.col("upper") - F.col("lower"), 4).alias("total"))

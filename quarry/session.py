@@ -45,4 +45,14 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: the lineage ends there, so a lost executor costs one re-read."""
     path = f"{shared_dir(df.sparkSession)}/settled/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Deletes what ``settle`` wrote for ``df``, once nothing reads it any more."""
+    path = getattr(df, "_settled_at", None)
+    if path:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import hash32
+from quarry.operators.ranking import sliced_rank
 from quarry.session import settle
 
 #: Pattern of a link's target.
@@ -23,11 +24,8 @@ def micro_batches(jobs: DataFrame, key: str, workers: int, slice_keys: int = 409
 
     Jobs are counted in slices of the key first, so none of the tasks numbers all of them.
     """
-    sliced = jobs.select(key, F.floor(F.col(key) / slice_keys).alias("cut"))
-    counts = sliced.groupBy("cut").agg(F.count("*").alias("n"))
-    before = counts.select("cut", (F.sum("n").over(Window.orderBy("cut")) - F.col("n")).alias("before"))
-    place = F.col("before") + F.row_number().over(Window.partitionBy("cut").orderBy(key)) - 1
-    return sliced.join(before, "cut").select(key, F.floor(place / workers).alias("tick"), (place % workers).alias("worker"))
+    place = F.col("rank")
+    return sliced_rank(jobs.select(key), [], F.floor(F.col(key) / slice_keys), [F.col(key)]).select(key, F.floor(place / workers).alias("tick"), (place % workers).alias("worker"))
 
 
 def ring(spark: SparkSession, nodes: list[str], copies: int = 100) -> DataFrame:
