@@ -21,6 +21,8 @@ from quarry.llm.common import arrow_rows, components, discard, materialize, n_pa
 BLOCK, JOIN = 256, 64
 #: Edges below this similarity lead nowhere near the threshold and are not kept in lists.
 ROUTE = 0.8
+#: Lists are not doubled beyond this after audits that fail.
+MOST_NEIGHBOURS = 160
 #: Rows of a component that are held while the component streams by.
 HELD = 1024
 
@@ -205,7 +207,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 10, ta
 
     Every list has at most ``k`` entries (four times as many where all of them are links), so no group is expanded into pairs.
     Inside a component, members within half the threshold angle of one pivot all link (no comparison needed); others are
-    compared, held in blocks, with the members that stream by, and only counts leave the task.
+    compared, held in blocks, with the members that stream by, and only counts leave the task. Where the audit finds less than
+    ``recall``, all is done again with twice the neighbours, tables and rounds; beyond ``MOST_NEIGHBOURS`` it is an error.
     """
     spark = vectors.sparkSession
     parts = n_partitions(spark)
@@ -251,8 +254,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 10, ta
 
     links = components(graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")))
     links = materialize(links, "vec")
-    if audit(classes, links, threshold) < recall and rounds:
-        return near_duplicates(vectors, threshold, 2 * k, 2 * tables, 2 * rounds, 0.0)
+    got = audit(classes, links, threshold)
+    if got < recall:
+        if k >= MOST_NEIGHBOURS:
+            raise RuntimeError(f"the audit finds {got:.4f} of the links; {recall} were asked for")
+        return near_duplicates(vectors, threshold, 2 * k, 2 * tables, 2 * rounds, recall)
 
     # exact counts inside components
     half = math.cos(math.acos(min(1.0, threshold)) / 2 - 1e-6)
