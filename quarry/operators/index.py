@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +23,32 @@ def token_rows(docs: DataFrame, analyzer: str = "main", **columns) -> DataFrame:
 
 
 def postings(docs: DataFrame, analyzer: str = "main", **columns) -> DataFrame:
-    """(term, doc_id, tf, positions). Documents are grouped before the shuffle by partial aggregation."""
-    rows = token_rows(docs, analyzer, **columns).groupBy("term", "doc_id")
-    return rows.agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    """(term, doc_id, tf, positions), a set of rows for each row of ``docs``.
+
+    All tokens of a document are in one place already, so nothing is shuffled: tokens are made in the JVM, and a batch of documents
+    is sorted by document and term in one stroke. Write the result sorted by term, or bucketed, to serve lookups.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    return analyzed(docs, analyzer, **columns).mapInArrow(_posting_rows, "term string, doc_id long, tf long, positions array<int>")
+
+
+def _posting_rows(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ids, lists = batch.column(0), batch.column(1)
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        pos = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        order = np.lexsort((code, doc))
+        doc, code, pos = doc[order], code[order], pos[order]
+        first = np.flatnonzero(np.r_[len(doc) > 0, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])]) if len(doc) else np.zeros(0, dtype=np.int64)
+        ends = np.append(first, len(doc)).astype(np.int32)
+        positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(pos.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[first])).cast(pa.string()), ids.take(pa.array(doc[first])).cast(pa.int64()), pa.array(np.diff(ends).astype(np.int64)), positions], ["term", "doc_id", "tf", "positions"])
 
 
 def latest(docs: DataFrame, version: str, key: str = "doc_id") -> DataFrame:
@@ -38,10 +64,14 @@ def corpus_stats(docs: DataFrame, analyzer: str = "main") -> DataFrame:
     return a.agg(F.count("*").alias("n_docs"), total.alias("n_tokens"), F.coalesce(F.try_divide(total, F.count("*")), F.lit(0.0)).alias("avg_length"))
 
 
-def dictionary(docs: DataFrame, analyzer: str = "main") -> DataFrame:
-    """(term, frequency, df) of the whole vocabulary; counted within documents first, so common terms are no hot keys."""
-    per_doc = analyzed(docs, analyzer).select("doc_id", F.explode("ts").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    return per_doc.groupBy("term").agg(F.sum("tf").alias("frequency"), F.count("*").alias("df"))
+def frequencies(docs: DataFrame, analyzer: str = "main") -> DataFrame:
+    """(term, frequency) of the whole vocabulary; tasks count first, so common terms are no hot keys."""
+    return analyzed(docs, analyzer).select(F.explode("ts").alias("term")).groupBy("term").agg(F.count("*").alias("frequency"))
+
+
+def document_frequencies(docs: DataFrame, analyzer: str = "main") -> DataFrame:
+    """(term, df): in how many documents each term is."""
+    return analyzed(docs, analyzer).select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def posting_sizes(posting_rows: DataFrame, slice_rows: int = 4096) -> DataFrame:

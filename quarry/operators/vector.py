@@ -10,50 +10,68 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMENSIONS = 64
+#: a-z and 0-9 as they are, a space for everything else.
+_PLAIN = np.array([c if chr(c).isdigit() or 97 <= c <= 122 else 32 for c in range(128)], dtype=np.uint8)
 #: Query vectors that are sent to every task at a time.
 BLOCK = 1024
 
 
-def pair_buckets(text: Column) -> Column:
-    """The bucket of each pair of neighbouring characters; all but a-z and 0-9 counts as a space, pairs of spaces are left out."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]", " ")
-    chars = F.filter(F.split(plain, ""), lambda c: c != "")
-    n = F.greatest(F.size(chars) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda a, b: F.when((a == " ") & (b == " "), -1).otherwise((F.ascii(a) * 31 + F.ascii(b)) % DIMENSIONS))
-    return F.filter(pairs, lambda b: b >= 0)
+def bucket_counts(text: str) -> np.ndarray:
+    """How often each bucket is hit by a pair of neighbouring characters; all but a-z and 0-9 counts as a space, pairs of spaces
+    are left out."""
+    x = np.frombuffer(text.lower().encode("ascii", "replace"), dtype=np.uint8)
+    plain = _PLAIN[x].astype(np.int64)
+    a, b = plain[:-1], plain[1:]
+    return np.bincount(((31 * a + b) % DIMENSIONS)[(a != 32) | (b != 32)], minlength=DIMENSIONS)
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, bucket, n): at most 64 rows of a document leave its task."""
-    return docs.select("doc_id", F.explode(pair_buckets(F.col("text"))).alias("bucket")).groupBy("doc_id", "bucket").agg(F.count("*").alias("n"))
+def _per_document(docs: DataFrame, fn, schema: str) -> DataFrame:
+    """A narrow map over whole texts in small batches; a null text is empty."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            yield fn(batch.column(0).to_pylist(), [bucket_counts(t or "") for t in batch.column(1).to_pylist()])
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def embedded(docs: DataFrame) -> DataFrame:
     """(doc_id, bucket, weight): counts scaled to length one; a text without pairs has no rows."""
-    counts = pair_counts(docs)
-    length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("doc_id")))
-    return counts.select("doc_id", "bucket", (F.col("n") / length).alias("weight"))
+
+    def rows(ids: list, counts: list[np.ndarray]):
+        import pyarrow as pa
+
+        x = np.array(counts, dtype=np.float64).reshape(len(ids), DIMENSIONS)
+        at, bucket = np.nonzero(x)
+        weight = x[at, bucket] / np.sqrt((x * x).sum(1))[at]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(at)), pa.array(bucket.astype(np.int32)), pa.array(weight)], ["doc_id", "bucket", "weight"])
+
+    return _per_document(docs, rows, "doc_id long, bucket int, weight double")
 
 
 def query_weights(query: str) -> dict[int, float]:
     """The embedding of a query, by bucket."""
-    plain = "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower())
-    counts: dict[int, int] = {}
-    for a, b in zip(plain, plain[1:], strict=False):
-        if a != " " or b != " ":
-            k = (31 * ord(a) + ord(b)) % DIMENSIONS
-            counts[k] = counts.get(k, 0) + 1
-    length = math.sqrt(sum(n * n for n in counts.values()))
-    return {k: n / length for k, n in counts.items()}
+    counts = bucket_counts(query)
+    length = math.sqrt(int((counts * counts).sum()))
+    return {int(k): float(counts[k] / length) for k in np.flatnonzero(counts)}
 
 
 def text_similarity(docs: DataFrame, query: str) -> DataFrame:
     """(doc_id, similarity) of every document with pairs to a query."""
-    weights = query_weights(query)
-    table = F.array(*[F.lit(weights.get(k, 0.0)) for k in range(DIMENSIONS)])
-    n = F.col("n").cast("double")
-    dot = F.sum(n * F.element_at(table, F.col("bucket") + 1))
-    return pair_counts(docs).groupBy("doc_id").agg((dot / F.sqrt(F.sum(n * n))).alias("similarity"))
+    weights = np.zeros(DIMENSIONS)
+    for k, w in query_weights(query).items():
+        weights[k] = w
+
+    def rows(ids: list, counts: list[np.ndarray]):
+        import pyarrow as pa
+
+        x = np.array(counts, dtype=np.float64).reshape(len(ids), DIMENSIONS)
+        length = np.sqrt((x * x).sum(1))
+        ok = np.flatnonzero(length)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(ok)), pa.array((x[ok] @ weights) / length[ok])], ["doc_id", "similarity"])
+
+    return _per_document(docs, rows, "doc_id long, similarity double")
 
 
 def cosine(a: Column, b: Column) -> Column:

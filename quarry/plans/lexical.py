@@ -58,7 +58,7 @@ def corpus_stats(spark, sf_dir):
 
 @query(f"with {tokens_cte()} select term, df.df as df from df")
 def vocabulary(spark, sf_dir):
-    return index.dictionary(docs(spark, sf_dir)).select("term", "df")
+    return index.document_frequencies(docs(spark, sf_dir))
 
 
 @query(f"with {tokens_cte()} select doc_id, tf from tf where term = lower('Tion')")
@@ -170,7 +170,7 @@ def skip_pointers(spark, sf_dir):
 def engine_stats(spark, sf_dir):
     from quarry.operators.words import prefixes
 
-    terms = index.dictionary(docs(spark, sf_dir))
+    terms = index.frequencies(docs(spark, sf_dir))
     nodes = prefixes(terms).agg((F.count("*") + 1).alias("trie_nodes")).select("trie_nodes").scalar()
     n = terms.agg(F.count("*").alias("n")).select("n").scalar()
     return index.corpus_stats(docs(spark, sf_dir)).select(nodes.alias("trie_nodes"), n.alias("n_terms"), "n_docs", F.round("avg_length", 6).alias("avg_length"))

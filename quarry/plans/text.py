@@ -106,7 +106,7 @@ def min_window_substring(spark, sf_dir):
 
 
 def _dict(spark, sf_dir):
-    return index.dictionary(docs(spark, sf_dir)).select("term", "frequency")
+    return index.frequencies(docs(spark, sf_dir))
 
 
 @query(f"with {DICT} select term, frequency from dict")
