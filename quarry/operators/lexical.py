@@ -37,9 +37,11 @@ class TermQuery:
     def __init__(self, docs: DataFrame, terms: list[str], analyzer: str = "main"):
         self.terms = [t.lower() for t in terms]
         self.distinct = list(dict.fromkeys(self.terms))
-        at = lambda t: F.filter(F.transform("ts", lambda x, i: F.when(x == t, i)), lambda p: p.isNotNull())
-        base = analyzed(docs, analyzer)
-        places = base.select("doc_id", F.size("ts").alias("dl"), *[at(t).alias(f"p{k}") for k, t in enumerate(self.distinct)])
+        wanted = F.array(*[F.lit(t) for t in self.distinct])
+        hits = F.filter(F.transform("ts", lambda x, i: F.when(x.isin(*self.distinct), F.struct(x.alias("x"), i.alias("i")))), lambda h: h.isNotNull())
+        some = analyzed(docs, analyzer).select("doc_id", F.size("ts").alias("dl"), F.when(F.arrays_overlap("ts", wanted), hits).alias("hits"))
+        at = lambda t: F.coalesce(F.transform(F.filter("hits", lambda h: h["x"] == t), lambda h: h["i"]), F.array().cast("array<int>"))
+        places = some.select("doc_id", "dl", *[at(t).alias(f"p{k}") for k, t in enumerate(self.distinct)])
         seen, found = Observation(), F.lit(False)
         for t in self.distinct:
             found = found | self.has(t)
