@@ -83,4 +83,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op6_minhash_near_dedup": near_dup.oracle(85), "op7_sharding": sharding.oracle(16), "op9_embedding_near_dedup": embedding_dup.oracle(0.93)}
+ORACLES: dict[str, str] = {"op6_minhash_near_dedup": near_dup.oracle(85), "op7_sharding": sharding.oracle(16), "op8_secret_scans": secrets.oracle(), "op9_embedding_near_dedup": embedding_dup.oracle(0.93)}

@@ -183,3 +183,28 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
         lambda acc: F.concat(acc["out"], F.substring(F.col("t_"), acc["at"] + 1, F.length("t_"))),
     )
     return found.withColumn("text", F.when(F.size("found") > 0, walk).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def oracle(threshold: float = 0.5) -> str:
+    """The same rows in DuckDB's SQL, the models' ratios as a literal list."""
+    quoted = {kind: pattern.replace("'", "''") for kind, (pattern, _, _) in BASE.items()}
+    kinds = " union all ".join(
+        f"select doc_id, {no} as no, '{kind}' as kind, string_split_regex(t, '{quoted[kind]}') as gaps, regexp_extract_all(t, '{quoted[kind]}') as hits, regexp_extract_all(t, '{quoted[kind]}', {group}) as parts, {least} as least from d"
+        for no, (kind, (_, least, group)) in enumerate(BASE.items())
+    )
+    counts = ", ".join(f"count(*) filter (kind = '{kind}') as n_{kind}" for kind in [*BASE, RANDOM])
+    joined = "string_agg(kind || ':' || start || ':' || stop, ',' order by start, no)"
+    return f"""
+    with d as (select doc_id, coalesce(text, '') as t from documents),
+    lut as (select {list(train(tuple(samples())))!r}::double[] as r),
+    k as (select * from ({kinds}) where len(hits) > 0 union all
+        select doc_id, {len(BASE)}, '{RANDOM}', string_split_regex(t, '{CANDIDATE}'), regexp_extract_all(t, '{CANDIDATE}'), regexp_extract_all(t, '{CANDIDATE}'), 0 from d where regexp_matches(t, '{CANDIDATE}')),
+    s as (select doc_id, no, kind, least, unnest(gaps[1:len(hits)]) as gap, unnest(hits) as hit, unnest(parts) as part, unnest(range(len(hits))) as i from k),
+    p as (select *, sum(length(gap) + length(hit)) over (partition by doc_id, no order by i) as stop from s),
+    spans_ as (select doc_id, no, kind, hit, (stop - length(hit))::bigint as start, stop::bigint as stop from p where length(part) >= least),
+    base as (select * from spans_ where no < {len(BASE)}),
+    more as (select x.* from spans_ x, lut where no = {len(BASE)} and not exists (select 1 from base b where b.doc_id = x.doc_id and b.start < x.stop and b.stop > x.start)
+        and list_sum(list_transform(range(1, length(hit)), lambda j: r[(strpos('{ALPHABET}', hit[j]) - 1) * {len(ALPHABET)} + strpos('{ALPHABET}', hit[j + 1])])) / (length(hit) - 1) > {threshold}),
+    whole as (select doc_id, {joined} as spans, coalesce({joined} filter (no < {len(BASE)}), '') as base, {counts} from (select * from base union all select * from more) group by doc_id)
+    select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, coalesce(n_random, 0) as n_random, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+    from d left join whole using (doc_id)"""
