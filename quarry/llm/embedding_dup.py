@@ -1,9 +1,8 @@
 """Near-duplicate embeddings by NN-descent within labels.
 
 Vectors that are equal become one class. A neighbour graph is seeded by blocks of random-hyperplane codes, then refined by joining
-the neighbours of each vector with one another, until rounds bring little; lists that are full of links are enlarged, recall is
-audited against brute force for a fixed number of queries, and only threshold edges count. Links are counted exactly inside
-the components that these edges make.
+the neighbours of each vector with one another, until rounds bring little; only threshold edges count. What the lists have left
+apart is joined by a sweep that compares all classes of a label, so components are exact; links are counted exactly inside them.
 """
 
 from __future__ import annotations
@@ -25,6 +24,8 @@ ROUTE = 0.8
 MOST_NEIGHBOURS = 160
 #: Rows of a component that are held while the component streams by.
 HELD = 1024
+#: Rows of a label that are held while the rest of the label streams by; held blocks of each label in one sweep; rows compared at once.
+SWEPT, WAVE, STEP = 8192, 4, 512
 
 
 def _unit_rows(batches: Iterator) -> Iterator:
@@ -165,6 +166,95 @@ def _count(threshold: float):
     return run
 
 
+def _sweep(threshold: float):
+    """Streams rows sorted by (label, dim, block, role): held rows (role 0), then rows of the label's later blocks (role 1).
+
+    Held rows are compared with one another and with all that stream by. Emits pairs of components that a link joins, those that
+    span what the task has seen.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        at, held, chunk, own, root = None, [], [], None, {}
+        out: tuple[list[int], list[int]] = ([], [])
+
+        def find(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        def compare(x: np.ndarray, comp: np.ndarray) -> None:
+            i, j = np.nonzero((x @ own[0].T >= threshold) & (comp[:, None] != own[1][None, :]))
+            for a, b in np.unique(np.stack([comp[i], own[1][j]], 1), axis=0).tolist():
+                p, q = find(a), find(b)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out[0].append(a)
+                    out[1].append(b)
+
+        def flush() -> None:
+            nonlocal own
+            if own is None and held:
+                own = _matrix([r[0] for r in held]), np.array([r[1] for r in held])
+                for s in range(0, len(held), STEP):
+                    compare(own[0][s : s + STEP], own[1][s : s + STEP])
+            if held and chunk:
+                compare(_matrix([r[0] for r in chunk]), np.array([r[1] for r in chunk]))
+            chunk.clear()
+
+        for cols in arrow_rows(batches, "label", "dim", "block", "role", "unit", "comp"):
+            out = ([], [])
+            for *key, role, unit, comp in zip(*cols, strict=True):
+                if key != at:
+                    flush()
+                    at, held, own = key, [], None
+                (chunk if role else held).append((unit, comp))
+                if len(chunk) >= STEP:
+                    flush()
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+        out = ([], [])
+        flush()
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def swept(classes: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """``links(id, component)`` with all components joined that any link joins: every pair of classes of a label is compared.
+
+    Blocks of ``SWEPT`` rows are held in turn while the label's later blocks stream by, ``WAVE`` blocks of each label at a time,
+    so the copies on disk do not grow with the label. The time does, with its square.
+    """
+    spark = classes.sparkSession
+    parts = n_partitions(spark)
+    rows = classes.select("cid", "label", "unit", F.length("unit").alias("dim"))
+    sizes = rows.groupBy("label", "dim").agg(F.ceil(F.count("*") / SWEPT).cast("int").alias("blocks"))
+    most = sizes.agg(F.max("blocks").alias("n")).first()["n"] or 0
+    comp = links.select(F.col("id").alias("cid"), F.col("component").alias("comp"))
+    rows = rows.join(sizes, ["label", "dim"]).join(comp, "cid", "left")
+    rows = rows.select("label", "dim", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("own"), "unit", F.coalesce("comp", "cid").alias("comp"))
+    if most > WAVE:
+        rows = materialize(rows, "vec")
+    keys = ["label", "dim", "block"]
+    edges = None
+    for w in range(0, most, WAVE):
+        held = rows.where((F.col("own") >= w) & (F.col("own") < w + WAVE)).select("label", "dim", F.col("own").alias("block"), F.lit(0).alias("role"), "unit", "comp")
+        later = rows.where(F.col("own") > w)
+        later = later.select("label", "dim", F.explode(F.sequence(F.lit(w), F.least(F.col("own"), F.lit(w + WAVE)) - 1)).alias("block"), F.lit(1).alias("role"), "unit", "comp")
+        ordered = (held.union(later) if most > 1 else held).repartition(parts, *keys).sortWithinPartitions(*keys, "role")
+        found = materialize(ordered.mapInArrow(_sweep(threshold), "a long, b long"), "vec")
+        edges = found if edges is None else edges.union(found)
+        if most > WAVE:
+            spark._jvm.System.gc()  # Spark deletes the shuffle of a wave once its plan is collected
+    if edges is None or edges.isEmpty():
+        return links
+    joined = components(edges).select(F.col("id").alias("at"), F.col("component").alias("whole"))
+    moved = links.join(joined, links["component"] == joined["at"], "left").select("id", F.coalesce("whole", "component").alias("component"))
+    alone = joined.join(links, joined["at"] == links["id"], "left_anti").select(F.col("at").alias("id"), F.col("whole").alias("component"))
+    return materialize(moved.union(alone), "vec")
+
+
 def audit(classes: DataFrame, links: DataFrame, threshold: float, queries: int = 256) -> float:
     """Share of the links of ``queries`` vectors (the first by a hash) that are in ``links``, against all vectors of their labels.
 
@@ -253,7 +343,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 10, ta
         size = after.count()
 
     links = components(graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")))
-    links = materialize(links, "vec")
+    links = swept(classes, materialize(links, "vec"), threshold)
     got = audit(classes, links, threshold)
     if got < recall:
         if k >= MOST_NEIGHBOURS:

@@ -59,3 +59,34 @@ def test_empty_and_repeated(spark):
     assert embedding_dup.near_duplicates(one.limit(0)).count() == 0
     twice = embedding_dup.near_duplicates(one.union(one)).collect()
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in twice) == [(1, 1, 1), (1, 1, 1), (2, 1, 2), (2, 1, 2)]
+
+
+def found(spark, rows, **more):
+    return {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dup.near_duplicates(table(spark, rows), 0.93, **more).collect()}
+
+
+def test_dense_groups_that_one_link_joins(spark):
+    """Every list is full of closer links, so that of the two groups is in none."""
+    turns = [*np.linspace(0, 5, 100), *np.linspace(5 + 21.54, 10 + 21.54, 100)]
+    rows = [(i, [float(np.float32(np.cos(np.radians(t)))), float(np.float32(np.sin(np.radians(t))))], 0) for i, t in enumerate(turns)]
+    want = brute(rows, 0.93)
+    assert {c for _, c, _ in want.values()} == {0} and want[99][0] == want[100][0] == 100
+    assert found(spark, rows) == want
+
+
+def test_labels_of_many_blocks(spark, monkeypatch):
+    """Blocks held in several waves compare every pair, also of single vectors that no bucket brought together."""
+    monkeypatch.setattr(embedding_dup, "SWEPT", 16)
+    rng = np.random.default_rng(2)
+    rows, n = [], 0
+    for _ in range(90):
+        center = rng.normal(size=10)
+        for _ in range(2):
+            rows.append((n, [float(np.float32(x)) for x in center + rng.normal(size=10) * 0.2], 0))
+            n += 1
+    want = brute(rows, 0.93)
+    v = table(spark, rows)
+    classes = v.mapInArrow(embedding_dup._unit_rows, "vec_id long, label long, unit binary").withColumnRenamed("vec_id", "cid")
+    none = spark.createDataFrame([], "id long, component long")
+    got = {r["id"]: r["component"] for r in embedding_dup.swept(classes, none, 0.93).collect()}
+    assert got == {i: c for i, (links, c, _) in want.items() if links} and len(got) > 50
