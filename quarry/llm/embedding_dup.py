@@ -20,8 +20,6 @@ from quarry.llm.common import arrow_rows, components, discard, materialize, n_pa
 BLOCK, JOIN = 256, 64
 #: Edges below this similarity lead nowhere near the threshold and are not kept in lists.
 ROUTE = 0.8
-#: Lists are not doubled beyond this after audits that fail.
-MOST_NEIGHBOURS = 160
 #: Rows of a component that are held while the component streams by.
 HELD = 1024
 #: Rows of a label that are held while the rest of the label streams by; held blocks of each label in one sweep; rows compared at once.
@@ -255,39 +253,7 @@ def swept(classes: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     return materialize(moved.union(alone), "vec")
 
 
-def audit(classes: DataFrame, links: DataFrame, threshold: float, queries: int = 256) -> float:
-    """Share of the links of ``queries`` vectors (the first by a hash) that are in ``links``, against all vectors of their labels.
-
-    Only links outside of what the component of the query holds can be missed by the exact counts, so those count: the
-    query's true neighbours are compared with the members of its component.
-    """
-    spark = classes.sparkSession
-    rows = classes.orderBy(F.xxhash64("cid"), "cid").limit(queries).select("cid", "label", "unit").collect()
-    sent = spark.sparkContext.broadcast([(r["cid"], r["label"], bytes(r["unit"])) for r in rows])
-
-    def run(batches: Iterator) -> Iterator:
-        by: dict[tuple[int, int], list] = {}
-        for cid, label, unit in sent.value:
-            by.setdefault((label, len(unit)), []).append((cid, unit))
-        for ids, labels, units in arrow_rows(batches, "cid", "label", "unit"):
-            out = []
-            groups: dict[tuple[int, int], list[int]] = {}
-            for k, (label, u) in enumerate(zip(labels, units, strict=True)):
-                groups.setdefault((label, len(u)), []).append(k)
-            for key, at in groups.items():
-                if key in by:
-                    sims = _matrix([units[k] for k in at]) @ _matrix([u for _, u in by[key]]).T
-                    out += [(by[key][q][0], ids[at[i]], float(sims[i, q])) for i, q in np.argwhere(sims >= threshold).tolist() if by[key][q][0] != ids[at[i]]]
-            yield _edges(out)
-
-    true = classes.select("cid", "label", "unit").mapInArrow(run, "u long, v long, sim double")
-    comp = links.select("id", "component")
-    seen = true.join(comp.select(F.col("id").alias("u"), F.col("component").alias("cu")), "u", "left").join(comp.select(F.col("id").alias("v"), F.col("component").alias("cv")), "v", "left")
-    r = seen.agg(F.count("*").alias("n"), F.sum((F.col("cu") == F.col("cv")).cast("long")).alias("ok")).first()
-    return (r["ok"] or 0) / r["n"] if r["n"] else 1.0
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 10, tables: int = 16, rounds: int = 4, recall: float = 0.999) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 10, tables: int = 16, rounds: int = 4) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors(vec_id, embedding, label)``.
 
     Rows link if their labels are equal and the cosine in double precision is at least ``threshold``. A row with a null id, a
@@ -297,8 +263,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 10, ta
 
     Every list has at most ``k`` entries (four times as many where all of them are links), so no group is expanded into pairs.
     Inside a component, members within half the threshold angle of one pivot all link (no comparison needed); others are
-    compared, held in blocks, with the members that stream by, and only counts leave the task. Where the audit finds less than
-    ``recall``, all is done again with twice the neighbours, tables and rounds; beyond ``MOST_NEIGHBOURS`` it is an error.
+    compared, held in blocks, with the members that stream by, and only counts leave the task. ``k``, ``tables`` and ``rounds`` decide
+    how much is left to join for the sweep over whole labels (``swept``), not the result.
     """
     spark = vectors.sparkSession
     parts = n_partitions(spark)
@@ -344,11 +310,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 10, ta
 
     links = components(graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")))
     links = swept(classes, materialize(links, "vec"), threshold)
-    got = audit(classes, links, threshold)
-    if got < recall:
-        if k >= MOST_NEIGHBOURS:
-            raise RuntimeError(f"the audit finds {got:.4f} of the links; {recall} were asked for")
-        return near_duplicates(vectors, threshold, 2 * k, 2 * tables, 2 * rounds, recall)
 
     # exact counts inside components
     half = math.cos(math.acos(min(1.0, threshold)) / 2 - 1e-6)

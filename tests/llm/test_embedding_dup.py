@@ -90,3 +90,20 @@ def test_labels_of_many_blocks(spark, monkeypatch):
     none = spark.createDataFrame([], "id long, component long")
     got = {r["id"]: r["component"] for r in embedding_dup.swept(classes, none, 0.93).collect()}
     assert got == {i: c for i, (links, c, _) in want.items() if links} and len(got) > 50
+
+
+def pairs_apart(seed: int, many: int):
+    """Single vectors, pairs of near copies and, with ``many``, a group whose links outnumber all others."""
+    rng = np.random.default_rng(seed)
+    hot = rng.normal(size=16)
+    rows = [hot + rng.normal(size=16) * 0.01 for _ in range(many)] + list(rng.normal(size=(500, 16)))
+    for _ in range(40):
+        center = rng.normal(size=16)
+        rows += [center, center + rng.normal(size=16) * 0.3]
+    return [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(rows)]
+
+
+def test_lost_pairs_beside_a_large_group(spark):
+    """One table parts pairs that are far below a thousandth of all links."""
+    rows = pairs_apart(8, 300)
+    assert found(spark, rows, tables=1, rounds=0) == brute(rows, 0.93)
