@@ -107,3 +107,9 @@ def test_lost_pairs_beside_a_large_group(spark):
     """One table parts pairs that are far below a thousandth of all links."""
     rows = pairs_apart(8, 300)
     assert found(spark, rows, tables=1, rounds=0) == brute(rows, 0.93)
+
+
+def test_pairs_that_no_bucket_holds(spark):
+    """Nothing leads to them, as neighbours below ``ROUTE`` are in no list."""
+    rows = pairs_apart(9, 0)
+    assert found(spark, rows, k=160, tables=1, rounds=0) == brute(rows, 0.93)
