@@ -154,8 +154,11 @@ def signatures(vectors: DataFrame, tables: int = 12, bits: int = 6, seed: int =
 
 
 def nearest_lsh(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 12, bits: int = 6) -> DataFrame:
-    """As ``nearest``, but only rows that share a signature in some table are compared; compared by their true cosine."""
+    """As ``nearest``, but only rows whose signature in some table is the query's or one bit off are compared; compared by their
+    true cosine."""
     data, asked = signatures(vectors, tables, bits), signatures(queries, tables, bits).withColumnRenamed("vec_id", "query_id")
+    probes = F.array(F.col("code"), *[F.col("code").bitwiseXOR(F.lit(1 << b)) for b in range(bits)])
+    asked = asked.select("query_id", "table", F.explode(probes).alias("code"))
     pairs = asked.join(data, ["table", "code"]).where("query_id <> vec_id").select("query_id", "vec_id").distinct()
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"))
     scored = pairs.join(q, "query_id").join(vectors.select("vec_id", F.col("embedding").alias("b")), "vec_id").select("query_id", "vec_id", F.round(cosine(F.col("a"), F.col("b")), 6).alias("similarity"))

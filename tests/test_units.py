@@ -89,6 +89,15 @@ def test_vectors(spark):
     assert spark.sql("select array(0d, 0d) as a, array(1d, 2d) as b").select(vector.cosine(F.col("a"), F.col("b"))).first()[0] == 0.0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_lsh_recall(spark, sf):
+    """The query with its own parameters, against the exact query on the whole table."""
+    from quarry.plans import vectors
+
+    exact, near = ({(r["query_id"], r["vec_id"]) for r in plan(spark, f"/root/testdata/{sf}").collect()} for plan in (vectors.knn_batch, vectors.knn_lsh))
+    assert exact and len(near & exact) >= 0.9 * len(exact)
+
+
 def random_graph(spark, seed, n=14, m=24):
     rng = random.Random(seed)
     edges = {(rng.randrange(n), rng.randrange(n)): float(rng.randint(1, 6)) for _ in range(m)}
