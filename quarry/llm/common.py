@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
-#: Rows in an Arrow batch: texts may be very long, so batches stay far below Spark's default of 10,000 rows.
-BATCH_ROWS = 512
+#: Characters of texts that an operator handles at a time: batches are cut there, as texts may be very long.
+BATCH_CHARS = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); one of our own only where that is unset, as in tests."""
+    """The folder that all executors share (``spark.checkpoint.dir``); one of our own only in local mode, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="quarry-")
@@ -48,11 +50,6 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(hconf).delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds what one Arrow batch of texts can hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -137,3 +134,26 @@ def arrow_rows(batches: Iterator, *names: str) -> Iterator[tuple[list, ...]]:
     for b in batches:
         if b.num_rows:
             yield tuple(b.column(b.schema.get_field_index(n)).to_pylist() for n in names)
+
+
+def text_batches(batches: Iterator, *names: str, text: str = "text", most: int | None = None) -> Iterator[tuple[list, ...]]:
+    """Columns as lists, in runs of rows whose texts have about ``most`` bytes together (a longer text is a run of its own), so that
+    memory is bounded by texts and not by rows; a null text is empty. The session's settings stay as they are."""
+    import pyarrow.compute as pc
+
+    most = most or BATCH_CHARS
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = {n: b.column(b.schema.get_field_index(n)) for n in names}
+        ends = np.cumsum(pc.fill_null(pc.binary_length(cols[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < b.num_rows:
+            before = ends[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
+            out = [cols[n].slice(begin, stop - begin).to_pylist() for n in names]
+            if text in names:
+                at = names.index(text)
+                out[at] = [t or "" for t in out[at]]
+            yield tuple(out)
+            begin = stop

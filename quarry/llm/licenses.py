@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows, documents, small_batches
+from quarry.llm.common import arrow_rows, documents, text_batches
 
 TEMPLATES: dict[str, list[str]] = {
     "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "This project is released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0"],
@@ -160,14 +160,13 @@ def scan(docs: DataFrame, least: float = 0.5, near: float = 0.5) -> DataFrame:
     where none is found; probability: the largest, or null. Null and empty texts have no paragraphs; repeated rows are kept;
     further columns are ignored. A narrow map over whole texts; the classifier is trained once in each worker.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         model = classifier()
         seen: dict[str, tuple[str, float, float] | None] = {}
-        for ids, texts in arrow_rows(batches, "doc_id", "text"):
+        for ids, texts in text_batches(batches, "doc_id", "text"):
             rows = []
             for doc, text in zip(ids, texts, strict=True):
                 at, n, hits = 0, 0, []

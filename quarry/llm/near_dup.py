@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Hashes, arrow_rows, components, documents, materialize, mix64, n_partitions, small_batches
+from quarry.llm.common import Hashes, arrow_rows, components, documents, materialize, mix64, n_partitions, text_batches
 
 #: 32 bands of 6 registers: at similarity 0.85 a pair is missed with probability 3e-7, at 0.8 with 6e-5.
 BANDS, ROWS = 32, 6
@@ -111,7 +111,7 @@ def _sketch_rows(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     hashes = Hashes()
-    for ids, texts in arrow_rows(batches, "doc_id", "text"):
+    for ids, texts in text_batches(batches, "doc_id", "text"):
         sets = shingle_sets(texts, hashes)
         full = [k for k, s in enumerate(sets) if len(s)]
         regs: list[bytes | None] = [None] * len(sets)
@@ -154,7 +154,7 @@ def _confirm(percent: int):
         import pyarrow as pa
 
         hashes, held, hub_set = Hashes(), None, None
-        for hubs, salts, ids, roles, prints, texts in arrow_rows(batches, "hub", "salt", "id", "role", "print", "text"):
+        for hubs, salts, ids, roles, prints, texts in text_batches(batches, "hub", "salt", "id", "role", "print", "text"):
             sets = shingle_sets(texts, hashes)
             links: tuple[list, list] = ([], [])
             for hub, salt, one, role, known, s in zip(hubs, salts, ids, roles, prints, sets, strict=True):
@@ -176,7 +176,7 @@ def _set_rows(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     hashes = Hashes()
-    for ids, prints, texts in arrow_rows(batches, "cid", "print", "text"):
+    for ids, prints, texts in text_batches(batches, "cid", "print", "text"):
         sets = shingle_sets(texts, hashes)
         ok = [k for k, s in enumerate(sets) if fingerprint(s) == prints[k]]  # else another text under the same doc_id
         yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in ok], pa.int64()), pa.array([sets[k].tobytes() for k in ok], pa.binary())], ["cid", "elements"])
@@ -255,7 +255,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Work beyond the input is in proportion to band rows (32 narrow rows a class) and to texts of candidates.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     texts = documents(docs)
     marked = materialize(texts.mapInArrow(_sketch_rows, "doc_id long, n_shingles long, print binary, sketch binary"), "near")
     classes = marked.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))

@@ -16,11 +16,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows, discard, documents, materialize, small_batches
+from quarry.llm.common import arrow_rows, discard, documents, materialize, text_batches
 
 #: Pieces that one task holds at a time, and underfull bins that one task of a later round gets.
 WINDOW, ITEMS = 60_000, 100_000
-FAN_IN = 8
+#: Partitions that one task of the next round takes over, and rounds at most (bins get numbers of 5 bits for the round).
+FAN_IN, ROUNDS = 8, 30
 
 
 @lru_cache(maxsize=4)
@@ -77,16 +78,18 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], lis
     return where, offset, fills
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, slack: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, slack: int = 2, window: int = WINDOW, items_a_task: int = ITEMS) -> DataFrame:
     """Packs every row of ``docs(doc_id, text)`` into sequences of at most ``capacity`` tokens.
 
     A document is its ids and ``end_id``; longer ones are cut so that only the first piece may be shorter than the
     capacity. Returns doc_id, piece, start, length, ids_crc32 (of little-endian unsigned 32-bit ids), sequence_id, offset.
     Null and empty texts are the end id alone; repeated rows are packed again; an empty table gives no rows; further
-    columns are ignored. Only rows without texts are shuffled; an underfull bin is a (bin, fill) row in later rounds.
+    columns are ignored. Pieces of one length are ordered arbitrarily among themselves. Only rows without texts are shuffled; an
+    underfull bin (more than ``slack`` tokens left) is a (bin, fill) row in later rounds. Rounds go on until one task has had all
+    underfull bins at once; where these are too many for a task (over ``items_a_task``), each round deals them anew, until a round
+    merges fewer than one in a thousand.
     """
     spark = docs.sparkSession
-    small_batches(spark)
 
     def local(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -105,14 +108,14 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
             made += len(fills)
             held = []
 
-        for ids, texts in arrow_rows(batches, "doc_id", "text"):
+        for ids, texts in text_batches(batches, "doc_id", "text"):
             for doc, text in zip(ids, texts, strict=True):
                 tokens = np.concatenate([encode(text), tail])
                 cuts = [0, *range(len(tokens) % capacity or capacity, len(tokens) + 1, capacity)]
                 for k in range(len(cuts) - 1):
                     a, b = cuts[k], cuts[k + 1]
                     held.append((doc, k, a, b - a, zlib.crc32(tokens[a:b].tobytes())))
-                if len(held) >= WINDOW:
+                if len(held) >= window:
                     yield from flush()
         if held:
             yield from flush()
@@ -123,25 +126,26 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
     moves = materialize(open_bins.select("bin", F.col("bin").alias("at"), F.lit(0).cast("long").alias("base"), "fill"), "pack")
     parts = pieces.rdd.getNumPartitions()
     level, items = 0, moves.count()
-    while items > 1:
+    while items > 1 and level < ROUNDS:
         level += 1
-        parts = max(1, -(-parts // FAN_IN), -(-items // ITEMS))
+        parts = max(-(-parts // FAN_IN), -(-items // items_a_task))
         frontier = moves.where(F.col("fill") < capacity - slack).groupBy("at").agg(F.first("fill").alias("fill"))
-        step = materialize(frontier.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_merge(capacity, level), "item long, parent long, shift long, total int"), "pack")
+        dealt = frontier.repartition(parts, F.xxhash64("at", F.lit(level))).sortWithinPartitions("at")
+        step = materialize(dealt.mapInArrow(_merge(capacity, level, 4 * items_a_task), "item long, parent long, shift long, total int"), "pack")
         new = moves.join(step, moves["at"] == step["item"], "left").select("bin", F.coalesce("parent", "at").alias("at"), (F.col("base") + F.coalesce("shift", F.lit(0))).alias("base"), F.coalesce("total", "fill").alias("fill"))
         new = materialize(new, "pack")
         discard(moves)
         discard(step)
         moves = new
         left = moves.where(F.col("fill") < capacity - slack).select("at").distinct().count()
-        if parts == 1 or (level > 2 and left > 0.99 * items):
+        if parts == 1 or (parts == -(-items // items_a_task) and left > 0.999 * items):
             break
         items = left
     out = pieces.join(moves.select("bin", "at", "base"), "bin", "left")
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("at", "bin").alias("sequence_id"), (F.col("place") + F.coalesce("base", F.lit(0))).alias("offset"))
 
 
-def _merge(capacity: int, level: int):
+def _merge(capacity: int, level: int, most: int):
     """Packs underfull bins as items; new bins get numbers that no other round or partition gives."""
 
     def run(batches: Iterator) -> Iterator:
@@ -160,7 +164,7 @@ def _merge(capacity: int, level: int):
 
         for bins, fills in arrow_rows(batches, "at", "fill"):
             held += zip(bins, fills, strict=True)
-            if len(held) >= 4 * ITEMS:
+            if len(held) >= most:
                 yield from flush()
         if held:
             yield from flush()

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Hashes, arrow_rows, documents, mix64, small_batches
+from quarry.llm.common import Hashes, discard, documents, materialize, mix64, text_batches
 
 BITS = 18
 KINDS, LEVELS = 40, 9
@@ -138,11 +138,14 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 5000) -> Model:
-    """Fits on labelled rows outside of fold 0: at most ``most`` of them, by a hash of doc_id, are read to the driver as
-    indicators (about 4 kB each). Null ids and labels are left out; of repeated label rows the largest label holds."""
-    small_batches(docs.sparkSession)
-    chosen = labels.where(fold(F.col("doc_id")) != 0).where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 5000, most_indicators: int = 20_000_000) -> Model:
+    """Fits on labelled rows outside of fold 0: at most ``most`` doc_ids, by a hash of doc_id, and of these as many as have
+    ``most_indicators`` together (80 MB) are read to the driver as indicators.
+
+    Null ids and labels are left out; of repeated label rows the largest label holds, of repeated documents the least text;
+    further columns are ignored. Without labelled documents, or with one label only, the model is a constant.
+    """
+    chosen = labels.where(fold(F.col("doc_id")) != 0).where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def run(batches: Iterator) -> Iterator:
@@ -150,21 +153,26 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
         hashes = Hashes()
         kinds = _Kinds(hashes)
-        for ids, texts, ys in arrow_rows(batches, "doc_id", "text", "y"):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([f.tobytes() for f in features(texts, hashes, kinds)], pa.binary()), pa.array(ys, pa.int32())], ["doc_id", "f", "y"])
-
-    got = documents(docs).join(F.broadcast(chosen.withColumn("y", F.col("y").cast("int"))), "doc_id").mapInArrow(run, "doc_id long, f binary, y int").toPandas().sort_values("doc_id", kind="stable")
+        for ids, texts, ys in text_batches(batches, "doc_id", "text", "y"):
+            rows = features(texts, hashes, kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([f.tobytes() for f in rows], pa.binary()), pa.array(ys, pa.int32()), pa.array([len(f) for f in rows], pa.int64())], ["doc_id", "f", "y", "n"])
+
+    texts = documents(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    rows = materialize(texts.mapInArrow(run, "doc_id long, f binary, y int, n long").withColumn("place", F.xxhash64("doc_id")), "labelled")
+    sizes = rows.select("place", "doc_id", "n").toPandas().sort_values(["place", "doc_id"], kind="stable")
+    within = sizes[sizes["n"].cumsum() <= most_indicators]
+    got = rows.where(F.col("place") <= (int(within["place"].iloc[-1]) if len(within) else -(1 << 63))).toPandas().sort_values("doc_id", kind="stable")
+    discard(rows)
     return fit([np.frombuffer(b, dtype=np.int32) for b in got["f"]], got["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs(doc_id, text)``: a narrow map over whole texts.
 
-    Null and empty texts get the score of a text without indicators; repeated rows are scored alike; further columns are
-    ignored. The model is about 4 MB whatever the input, and goes to the executors once.
+    Null and empty texts get the score of a text without indicators; a null doc_id is not held out; repeated rows are scored
+    alike; an empty table gives no rows; further columns are ignored. The model is about 4 MB whatever the input, and goes to the executors once.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.ratios.astype(np.float32), model.slope, model.shift))
 
     def run(batches: Iterator) -> Iterator:
@@ -172,7 +180,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
         hashes, m = Hashes(), Model(*sent.value)
         kinds = _Kinds(hashes)
-        for ids, texts in arrow_rows(batches, "doc_id", "text"):
+        for ids, texts in text_batches(batches, "doc_id", "text"):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(m.scores(features(texts, hashes, kinds)), pa.float64())], ["doc_id", "score"])
 
     out = documents(docs).mapInArrow(run, "doc_id long, score double")
@@ -180,11 +188,13 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the model does not reject."""
+    """The rows of ``docs``, with all their columns, that the model does not reject.
+
+    A null or empty text is kept or not by the score of a text without indicators; rows with a null doc_id are scored like all
+    others; repeated rows are kept or go together; an empty table gives no rows.
+    """
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast((model.weights.astype(np.float32), model.ratios.astype(np.float32), model.slope, model.shift))
-    at = docs.columns.index("text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -192,8 +202,8 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
         hashes, m = Hashes(), Model(*sent.value)
         kinds = _Kinds(hashes)
         for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            if texts:
-                yield b.filter(pa.array(m.scores(features(texts, hashes, kinds)) >= threshold))
+            good = [m.scores(features(texts, hashes, kinds)) >= threshold for (texts,) in text_batches([b], "text")]
+            if good:
+                yield b.filter(pa.array(np.concatenate(good)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -172,17 +172,25 @@ def scan(docs: DataFrame, **options) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
-    """``docs`` with every found span of ``text`` replaced by ``mark`` (overlapping spans by one mark); other texts stay as they are."""
-    found = find(docs, **options)
+    """``docs`` with every found span of ``text`` replaced by ``mark`` (overlapping spans by one mark).
+
+    Other texts, null and empty ones among them, and all further columns, of any name, stay as they are; rows with a null doc_id
+    and repeated rows are treated like all others; an empty table gives no rows. No shuffle, no Python.
+    """
+    found = find(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), **options)
+    # where text between spans begins and ends; a span that begins before the end of the one before has no text before it
     walk = F.aggregate(
         "found",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("t_"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"))
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), s["start"].alias("end"))))).alias("out"),
         ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("t_"), acc["at"] + 1, F.length("t_"))),
+        lambda acc: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), F.length("t_").alias("end")))),
     )
-    return found.withColumn("text", F.when(F.size("found") > 0, walk).otherwise(F.col("text"))).select(*docs.columns)
+    joined = F.array_join(F.transform(walk, lambda g: F.substring(F.col("t_"), g["start"] + 1, g["end"] - g["start"])), mark)
+    text = F.when(F.size("found") > 0, joined).otherwise(F.col("text"))
+    return found.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def oracle(threshold: float = 0.5) -> str:

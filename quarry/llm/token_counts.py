@@ -13,7 +13,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_rows, documents, small_batches
+from quarry.llm.common import arrow_rows, documents, text_batches
 
 SPACE = "▁"
 
@@ -139,13 +139,12 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     A narrow map: no shuffle. Null and empty texts have no bytes and no tokens; repeated rows and null ids are kept as
     they are; further columns are ignored. ``model_path`` must be readable on every executor.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         count = counter(model_path).count
-        for ids, texts in arrow_rows(batches, "doc_id", "text"):
+        for ids, texts in text_batches(batches, "doc_id", "text"):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array([count(t) for t in texts], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return documents(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

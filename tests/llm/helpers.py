@@ -28,6 +28,6 @@ def clashing(docs):
     """The same rows with further columns whose names operators might use themselves."""
     from pyspark.sql import functions as F
 
-    for name in ("id", "component", "print", "rank", "score", "found", "bin", "t_", "label", "hub", "n", "stratum"):
+    for name in ("id", "component", "print", "rank", "score", "found", "bin", "t_", "base_", "row", "w_hex", "s_r", "__bad", "mixed", "y", "f", "label", "hub", "n", "stratum"):
         docs = docs.withColumn(name, F.lit("x"))
     return docs

@@ -54,6 +54,17 @@ def test_sequences_of_a_whole_table(spark):
     assert n <= 1.01 * tokens / 1024 + 1
 
 
+def test_small_windows_and_many_rounds(spark):
+    """Windows that are flushed within a task, and rounds whose tasks cannot hold all underfull bins."""
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randint(1, 900)) for _ in range(400)]
+    docs = documents(spark, texts).repartition(7)
+    n, on_one_machine = check(texts, packing.pack(docs, PATH, window=13, items_a_task=20).collect())
+    assert n <= 1.08 * on_one_machine + 1
+    n, _ = check(texts, packing.pack(docs, PATH, window=13).collect())
+    assert n <= 1.08 * on_one_machine + 1  # bins of 13 pieces are merged as wholes
+
+
 def test_empty_and_repeated(spark):
     docs = documents(spark, ["a", None])
     assert packing.pack(docs.limit(0), PATH).count() == 0

@@ -3,14 +3,18 @@
 import zlib
 from collections import Counter
 
+import pytest
+
 from quarry.llm import sharding
+from tests.compare import differences, duck
 from tests.llm.helpers import clashing, documents, odd_texts
 
 
-def test_shards(spark):
+@pytest.mark.parametrize("slice_rows, slices_a_run", [(sharding.SLICE_ROWS, sharding.SLICES_A_RUN), (7, 4), (1, 1)])
+def test_shards(spark, slice_rows, slices_a_run):
     texts = odd_texts() + [f"text {i}" for i in range(700)]
     docs = documents(spark, texts)
-    rows = sharding.proportional_shards(clashing(docs), 16).collect()
+    rows = sharding.proportional_shards(clashing(docs), 16, slice_rows=slice_rows, slices_a_run=slices_a_run).collect()
     assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
     sizes = Counter(r["shard"] for r in rows)
     assert max(sizes.values()) - min(sizes.values()) <= 1 and set(sizes) == set(range(16))
@@ -33,3 +37,16 @@ def test_repeated_empty_and_same_again(spark):
     assert len(twice) == 6 and max(Counter(r["shard"] for r in twice).values()) <= 2
     again = [sorted(map(str, sharding.proportional_shards(docs, 4).collect())) for _ in range(2)]
     assert again[0] == again[1]
+
+
+def test_ties_of_one_doc_id_go_by_text(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", "s") for i in range(50)] + [(None, None, None)] * 3, "doc_id long, text string, source string")
+    runs = [sorted((str(r["doc_id"]), r["text_crc32"], r["shard"], r["slot"]) for r in sharding.proportional_shards(docs.repartition(n), 4, slice_rows=5).collect()) for n in (1, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == 53
+
+
+@pytest.mark.parametrize("slice_rows", [sharding.SLICE_ROWS, 7])
+def test_sql(spark, slice_rows):
+    sf = "/root/testdata/sf0.001"
+    got = sharding.proportional_shards(spark.read.parquet(f"{sf}/documents.parquet"), 16, slice_rows=slice_rows)
+    assert differences(got, sharding.oracle(16), duck(sf)) == []
