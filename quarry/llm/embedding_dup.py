@@ -1,8 +1,10 @@
 """Near-duplicate embeddings by NN-descent within labels.
 
-Vectors that are equal become one class. A neighbour graph is seeded by blocks of random-hyperplane codes, then refined by joining
-the neighbours of each vector with one another, until rounds bring little; only threshold edges count. What the lists have left
-apart is joined by a sweep that compares all classes of a label, so components are exact; links are counted exactly inside them.
+Vectors that are equal become one class. Buckets of random-hyperplane codes, as many tables of them as miss a pair at the
+threshold with probability 1e-6, seed a neighbour graph, which is refined by joining the neighbours of each vector with one another;
+lists that are full of links are enlarged. Every link that is met on the way is kept, whatever the lists keep. Buckets too large
+for one task are then compared as far as links have not joined them, links are counted exactly within components, and an audit
+compares a sample with all vectors; if it finds a link that was lost, everything is done again with twice the tables.
 """
 
 from __future__ import annotations
@@ -16,244 +18,326 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import arrow_rows, components, discard, materialize, n_partitions
 
-#: Vectors that one task compares with each other while seeding; neighbours that one vector's join takes at a time.
-BLOCK, JOIN = 256, 64
-#: Edges below this similarity lead nowhere near the threshold and are not kept in lists.
-ROUTE = 0.8
-#: Rows of a component that are held while the component streams by.
-HELD = 1024
-#: Rows of a label that are held while the rest of the label streams by; held blocks of each label in one sweep; rows compared at once.
-SWEPT, WAVE, STEP = 8192, 4, 512
+#: Vectors that one task compares with each other, or holds while at most FAN times as many stream by.
+BLOCK, FAN = 1024, 4
+#: Members of one vector's neighbourhood that are joined at a time; tables that seed neighbour lists.
+JOIN, SEEDED = 64, 3
+#: Chance that no table brings a pair at the threshold together, and vectors of one audit.
+MISS, AUDITED = 1e-6, 256
 
 
 def _unit_rows(batches: Iterator) -> Iterator:
-    """(vec_id, label, unit): the normalized double vector, or null where a vector may link with nothing."""
-    import pyarrow as pa
-
-    for ids, vectors, labels in arrow_rows(batches, "vec_id", "embedding", "label"):
-        units: list[bytes | None] = []
-        for v, i, label in zip(vectors, ids, labels, strict=True):
-            unit = None
-            if v and label is not None and i is not None and None not in v:
-                x = np.array(v, dtype=np.float64)
-                top = np.abs(x).max()
-                if np.isfinite(top) and top > 0:
-                    x = x / top
-                    unit = (x / np.sqrt((x * x).sum())).tobytes()
-            units.append(unit)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int64()), pa.array(units, pa.binary())], ["vec_id", "label", "unit"])
-
+    """(vec_id, label, raw, print): the vector's bytes and a digest of it normalized, or nulls where it may link with nothing."""
+    import hashlib
 
-def _matrix(rows: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), dtype=np.float64).reshape(len(rows), -1)
-
-
-def _edges(out: list[tuple]):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids, vectors, labels = (b.column(b.schema.get_field_index(n)) for n in ("vec_id", "embedding", "label"))
+        sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = vectors.flatten()
+        values = pc.fill_null(flat, float("nan")).to_numpy(zero_copy_only=False)
+        starts = np.cumsum(sizes) - sizes
+        known = sizes > 0
+        for c in (ids, labels):
+            known &= pc.is_valid(c).to_numpy(zero_copy_only=False)
+        raws: list[bytes | None] = [None] * len(sizes)
+        prints: list[bytes | None] = [None] * len(sizes)
+        for n in np.unique(sizes[known]).tolist():
+            at = np.flatnonzero(known & (sizes == n))
+            raw = values[starts[at][:, None] + np.arange(n)[None, :]]
+            ok = np.isfinite(raw).all(1) & (raw != 0).any(1)
+            for i, row, unit in zip(at[ok].tolist(), raw[ok], _normal(raw[ok]), strict=True):
+                raws[i], prints[i] = row.tobytes(), hashlib.md5(unit.tobytes()).digest()
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), labels.cast(pa.int64()), pa.array(raws, pa.binary()), pa.array(prints, pa.binary())], ["vec_id", "label", "raw", "print"])
+
+
+def _normal(rows: np.ndarray) -> np.ndarray:
+    x = rows.astype(np.float64)
+    if len(x):
+        x = x / np.abs(x).max(1, keepdims=True)
+        x += 0.0  # no negative zeros: they would tell equal vectors apart
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+    return x
+
+
+def _matrix(rows: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors in double precision."""
+    return _normal(np.frombuffer(b"".join(rows), dtype=kind).reshape(len(rows), -1))
+
+
+def _batch(kinds: dict[str, str], *columns):
     import pyarrow as pa
 
-    a, b, s = zip(*out, strict=True) if out else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["u", "v", "sim"])
-
-
-def _join_groups(keys: tuple[str, ...], k: int, threshold: float):
-    """Streams rows sorted by ``keys``; within a group every row gets its best ``k`` others, and links to the group's first id."""
-
-    def best(ids: list[int], units: list[bytes]) -> list[tuple]:
-        if len(ids) < 2:
-            return []
-        out = []
-        x, name = _matrix(units), np.array(ids)
-        sims = x @ x.T
-        np.fill_diagonal(sims, -2)
-        sims[name[:, None] == name[None, :]] = -2
-        low = int(name.argmin())
-        top = np.argpartition(-sims, min(k, len(ids) - 1) - 1, axis=1)[:, :k] if len(ids) > k else np.tile(np.arange(len(ids)), (len(ids), 1))
-        for i, row in enumerate(top):
-            out += [(ids[i], ids[j], float(sims[i, j])) for j in row.tolist() if sims[i, j] >= ROUTE]
-            if sims[i, low] >= threshold and low not in row:
-                out.append((ids[i], ids[low], float(sims[i, low])))
-        return out
-
-    def run(batches: Iterator) -> Iterator:
-        at, ids, units = None, [], []
-        for cols in arrow_rows(batches, *keys, "cid", "unit"):
-            out: list[tuple] = []
-            for *key, cid, unit in zip(*cols, strict=True):
-                if key != at:
-                    out += best(ids, units)
-                    at, ids, units = key, [], []
-                ids.append(cid)
-                units.append(unit)
-            yield _edges(out)
-        yield _edges(best(ids, units))
-
-    return run
-
-
-def _codes(tables: int, bits: int, dim_seed: int):
+    types = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if len(c) else [], types[t]) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+
+def _gathered(kinds: dict[str, str], parts: Iterator[tuple], most: int = 20_000) -> Iterator:
+    """Few batches of many small ones."""
+    held: list[tuple] = []
+    size = 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= most:
+            yield _batch(kinds, *zip(*held, strict=True))
+            held, size = [], 0
+    if size:
+        yield _batch(kinds, *zip(*held, strict=True))
+
+
+EDGES = {"u": "long", "v": "long", "sim": "double"}
+
+
+class _Forest:
+    """Links that a task has not joined yet."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def find(self, c: int) -> int:
+        root = self.root
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of these links join what was apart."""
+        fresh = np.zeros(len(a), dtype=bool)
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            p, q = self.find(x), self.find(y)
+            if p != q:
+                self.root[max(p, q)] = min(p, q)
+                fresh[k] = True
+        return fresh
+
+
+def _groups(batches: Iterator, keys: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with equal keys of a sorted stream."""
+    at, rows = None, []
+    for cols in arrow_rows(batches, *keys, *columns):
+        for row in zip(*cols, strict=True):
+            if row[: len(keys)] != at:
+                if rows:
+                    yield at, rows
+                at, rows = row[: len(keys)], []
+            rows.append(row[len(keys) :])
+    if rows:
+        yield at, rows
+
+
+def _join_groups(keys: tuple[str, ...], k: int, threshold: float, kind: str):
+    """Within each group of rows all pairs are compared. Emitted: links that span what the group joins, and, where ``seeds`` says
+    so, for each row its best ``k`` others that are better than ``worst``, what its list has last."""
+
+    def pairs(batches: Iterator) -> Iterator:
+        for _, rows in _groups(batches, keys, ("cid", "raw", "worst", "seeds")):
+            ids, raws, worst, seeds = zip(*rows, strict=True)
+            name, low = np.array(ids), np.array(worst)
+            name, first = np.unique(name, return_index=True)
+            if len(name) < 2:
+                continue
+            x, low = _matrix([raws[i] for i in first], kind), low[first]
+            sims = x @ x.T
+            np.fill_diagonal(sims, -2)
+            a, b = np.nonzero(np.triu(sims >= threshold))
+            fresh = _Forest().join(name[a], name[b])
+            a, b = a[fresh], b[fresh]
+            yield name[a], name[b], sims[a, b]
+            if seeds[0] and k:
+                n = min(k, len(name) - 1)
+                top = np.argpartition(-sims, n - 1, axis=1)[:, :n]
+                a = np.repeat(np.arange(len(name)), n)
+                b = top.ravel()
+                better = sims[a, b] > low[a]
+                a, b = a[better], b[better]
+                yield name[a], name[b], sims[a, b]
+
+    return lambda batches: _gathered(EDGES, pairs(batches))
+
+
+def _codes(tables: int, bits: int, kind: str, seed: int = 17):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         planes: dict[int, np.ndarray] = {}
-        for ids, labels, units in arrow_rows(batches, "cid", "label", "unit"):
+        for ids, labels, raws in arrow_rows(batches, "cid", "label", "raw"):
             by_dim: dict[int, list[int]] = {}
-            for k, u in enumerate(units):
-                by_dim.setdefault(len(u) // 8, []).append(k)
+            for k, u in enumerate(raws):
+                by_dim.setdefault(len(u) // np.dtype(kind).itemsize, []).append(k)
             for dim, at in by_dim.items():
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng(dim_seed + dim).normal(size=(dim, tables * max(bits, 1)))
-                signs = (_matrix([units[k] for k in at]) @ planes[dim] > 0).reshape(len(at), tables, -1)
+                    planes[dim] = np.random.default_rng(seed + dim).normal(size=(dim, tables * max(bits, 1)))
+                signs = (_matrix([raws[k] for k in at], kind) @ planes[dim] > 0).reshape(len(at), tables, -1)
                 codes = (signs * (1 << np.arange(signs.shape[2], dtype=np.int64))).sum(2) * (bits > 0) + dim * (1 << 40)
-                n = len(at)
                 pick = lambda v, at=at: np.repeat(np.array([v[k] for k in at], dtype=np.int64), tables)
-                yield pa.RecordBatch.from_arrays([pa.array(pick(ids)), pa.array(pick(labels)), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(codes.ravel())], ["cid", "label", "table", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(pick(ids)), pa.array(pick(labels)), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(at))), pa.array(codes.ravel())], ["cid", "label", "table", "code"])
 
     return run
 
 
-def _count(threshold: float):
-    """Streams rows sorted by (component, block, role): held rows (role 0), then all rows (role 1) of the component.
-
-    Role 0 rows lie outside of the core (see ``near_duplicates``). Emits (cid, n): for every streamed row the weight of held rows
-    that it links with, and for held rows the weight of core rows that they link with; a row itself does not count.
-    """
+def tiled(held: DataFrame, stream: DataFrame, keys: list[str], n_held: str, n_stream: str, block: int) -> DataFrame:
+    """Rows of both sides dealt into tiles, sorted with held rows (role 0) first: a tile has about ``block`` held rows of a group
+    and FAN times as many of those that stream by, so neither side of a large group meets in one task."""
+    blocks, slices = F.ceil(F.col(n_held) / block).cast("int"), F.ceil(F.col(n_stream) / (FAN * block)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    rows = held.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("slice", every(slices)).withColumn("role", F.lit(0))
+    rows = rows.unionByName(stream.withColumn("slice", F.pmod(F.xxhash64("cid", F.lit(1)), slices).cast("int")).withColumn("block", every(blocks)).withColumn("role", F.lit(1)))
+    order = [*keys, "block", "slice"]
+    return rows.repartition(n_partitions(held.sparkSession), *order).sortWithinPartitions(*order, "role").drop(n_held, n_stream)
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        at, held, out, sums = None, [], ([], []), None
+def _count(threshold: float, kind: str):
+    """Tiles of held rows, which lie outside of the core of their component (see ``near_duplicates``), and of all its rows.
 
-        def put(ids, ns) -> None:
-            out[0].extend(ids)
-            out[1].extend(ns)
+    Emits (cid, n): for every streamed row the weight of held rows that it links with, and for held rows the weight of core rows
+    that they link with; a row itself does not count.
+    """
+    keys = ("component", "block", "slice")
 
-        def against(chunk: list[tuple]) -> None:
-            nonlocal sums
+    def counts(batches: Iterator) -> Iterator:
+        for _, rows in _groups(batches, keys, ("role", "cid", "raw", "w", "core")):
+            held, chunk = [r[1:] for r in rows if not r[0]], [r[1:] for r in rows if r[0]]
             if not held or not chunk:
-                return
-            h, c = _matrix([r[1] for r in held]), _matrix([r[1] for r in chunk])
-            link = (c @ h.T) >= threshold
-            hw, cw = np.array([r[2] for r in held]), np.array([r[2] for r in chunk])
-            own = np.array([r[0] for r in chunk])[:, None] == np.array([r[0] for r in held])[None, :]
-            put([r[0] for r in chunk], ((link & ~own) * hw[None, :]).sum(1).tolist())
-            core = np.array([r[3] for r in chunk])
-            got = ((link & core[:, None]) * cw[:, None]).sum(0)
-            sums = got if sums is None else sums + got
-
-        def close() -> None:
-            nonlocal sums
-            if sums is not None:
-                put([r[0] for r in held], sums.tolist())
-            sums = None
-
-        for cols in arrow_rows(batches, "component", "block", "role", "cid", "unit", "w", "core"):
-            out = ([], [])
-            chunk: list[tuple] = []
-            for comp, block, role, *row in zip(*cols, strict=True):
-                if (comp, block) != at:
-                    against(chunk)
-                    close()
-                    at, held, chunk = (comp, block), [], []
-                (held if role == 0 else chunk).append(row)
-            against(chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["cid", "n"])
-        out = ([], [])
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["cid", "n"])
+                continue
+            (hi, hr, hw, _), (ci, cr, cw, core) = zip(*held, strict=True), zip(*chunk, strict=True)
+            hi, hw, ci, cw, core = (np.array(v) for v in (hi, hw, ci, cw, core))
+            link = (_matrix(list(cr), kind) @ _matrix(list(hr), kind).T) >= threshold
+            link &= ci[:, None] != hi[None, :]
+            yield np.concatenate([ci, hi]), np.concatenate([(link * hw[None, :]).sum(1), ((link & core[:, None]) * cw[:, None]).sum(0)])
 
-    return run
+    return lambda batches: _gathered({"cid": "long", "n": "long"}, counts(batches))
 
 
-def _sweep(threshold: float):
-    """Streams rows sorted by (label, dim, block, role): held rows (role 0), then rows of the label's later blocks (role 1).
+def _rest(keys: tuple[str, ...], threshold: float, kind: str):
+    """Tiles of rows that their bucket's largest component leaves out and of all rows of the bucket: links that join components."""
 
-    Held rows are compared with one another and with all that stream by. Emits pairs of components that a link joins, those that
-    span what the task has seen.
-    """
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def joins(batches: Iterator) -> Iterator:
+        for _, rows in _groups(batches, (*keys, "block", "slice"), ("role", "raw", "comp")):
+            held, chunk = [r[1:] for r in rows if not r[0]], [r[1:] for r in rows if r[0]]
+            if not held or not chunk:
+                continue
+            (hr, hc), (cr, cc) = zip(*held, strict=True), zip(*chunk, strict=True)
+            hc, cc = np.array(hc), np.array(cc)
+            i, j = np.nonzero((_matrix(list(cr), kind) @ _matrix(list(hr), kind).T >= threshold) & (cc[:, None] != hc[None, :]))
+            pairs = np.unique(np.stack([cc[i], hc[j]], 1), axis=0)
+            pairs = pairs[_Forest().join(pairs[:, 0], pairs[:, 1])]
+            yield pairs[:, 0], pairs[:, 1]
 
-        at, held, chunk, own, root = None, [], [], None, {}
-        out: tuple[list[int], list[int]] = ([], [])
-
-        def find(c: int) -> int:
-            while root.setdefault(c, c) != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        def compare(x: np.ndarray, comp: np.ndarray) -> None:
-            i, j = np.nonzero((x @ own[0].T >= threshold) & (comp[:, None] != own[1][None, :]))
-            for a, b in np.unique(np.stack([comp[i], own[1][j]], 1), axis=0).tolist():
-                p, q = find(a), find(b)
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    out[0].append(a)
-                    out[1].append(b)
-
-        def flush() -> None:
-            nonlocal own
-            if own is None and held:
-                own = _matrix([r[0] for r in held]), np.array([r[1] for r in held])
-                for s in range(0, len(held), STEP):
-                    compare(own[0][s : s + STEP], own[1][s : s + STEP])
-            if held and chunk:
-                compare(_matrix([r[0] for r in chunk]), np.array([r[1] for r in chunk]))
-            chunk.clear()
-
-        for cols in arrow_rows(batches, "label", "dim", "block", "role", "unit", "comp"):
-            out = ([], [])
-            for *key, role, unit, comp in zip(*cols, strict=True):
-                if key != at:
-                    flush()
-                    at, held, own = key, [], None
-                (chunk if role else held).append((unit, comp))
-                if len(chunk) >= STEP:
-                    flush()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
-        out = ([], [])
-        flush()
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+    return lambda batches: _gathered({"a": "long", "b": "long"}, joins(batches))
 
-    return run
 
+def missed(classes: DataFrame, component: DataFrame, threshold: float, kind: str, queries: int = AUDITED) -> tuple[int, int]:
+    """Links of ``queries`` vectors, taken by hash, with all vectors: how many there are, and how many of them join different components.
 
-def swept(classes: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
-    """``links(id, component)`` with all components joined that any link joins: every pair of classes of a label is compared.
-
-    Blocks of ``SWEPT`` rows are held in turn while the label's later blocks stream by, ``WAVE`` blocks of each label at a time,
-    so the copies on disk do not grow with the label. The time does, with its square.
+    One pass over narrow rows; the queries (a constant number) are sent to all tasks.
     """
     spark = classes.sparkSession
-    parts = n_partitions(spark)
-    rows = classes.select("cid", "label", "unit", F.length("unit").alias("dim"))
-    sizes = rows.groupBy("label", "dim").agg(F.ceil(F.count("*") / SWEPT).cast("int").alias("blocks"))
-    most = sizes.agg(F.max("blocks").alias("n")).first()["n"] or 0
-    comp = links.select(F.col("id").alias("cid"), F.col("component").alias("comp"))
-    rows = rows.join(sizes, ["label", "dim"]).join(comp, "cid", "left")
-    rows = rows.select("label", "dim", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("own"), "unit", F.coalesce("comp", "cid").alias("comp"))
-    if most > WAVE:
-        rows = materialize(rows, "vec")
-    keys = ["label", "dim", "block"]
-    edges = None
-    for w in range(0, most, WAVE):
-        held = rows.where((F.col("own") >= w) & (F.col("own") < w + WAVE)).select("label", "dim", F.col("own").alias("block"), F.lit(0).alias("role"), "unit", "comp")
-        later = rows.where(F.col("own") > w)
-        later = later.select("label", "dim", F.explode(F.sequence(F.lit(w), F.least(F.col("own"), F.lit(w + WAVE)) - 1)).alias("block"), F.lit(1).alias("role"), "unit", "comp")
-        ordered = (held.union(later) if most > 1 else held).repartition(parts, *keys).sortWithinPartitions(*keys, "role")
-        found = materialize(ordered.mapInArrow(_sweep(threshold), "a long, b long"), "vec")
-        edges = found if edges is None else edges.union(found)
-        if most > WAVE:
-            spark._jvm.System.gc()  # Spark deletes the shuffle of a wave once its plan is collected
-    if edges is None or edges.isEmpty():
-        return links
-    joined = components(edges).select(F.col("id").alias("at"), F.col("component").alias("whole"))
-    moved = links.join(joined, links["component"] == joined["at"], "left").select("id", F.coalesce("whole", "component").alias("component"))
-    alone = joined.join(links, joined["at"] == links["id"], "left_anti").select(F.col("at").alias("id"), F.col("whole").alias("component"))
-    return materialize(moved.union(alone), "vec")
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 10, tables: int = 16, rounds: int = 4) -> DataFrame:
+    rows = classes.select("cid", "label", "raw").join(component.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    asked = rows.orderBy(F.xxhash64("cid", F.lit(5)), "cid").limit(queries).collect()
+    if not asked:
+        return 0, 0
+    sent = spark.sparkContext.broadcast([tuple(r) for r in asked])
+
+    def run(batches: Iterator) -> Iterator:
+        by_dim: dict[int, list[tuple]] = {}
+        for q in sent.value:
+            by_dim.setdefault(len(q[2]), []).append(q)
+        held = {n: (np.array([q[0] for q in qs]), np.array([q[1] for q in qs]), _matrix([q[2] for q in qs], kind), np.array([q[3] for q in qs])) for n, qs in by_dim.items()}
+        total = lost = 0
+        for cols in arrow_rows(batches, "cid", "label", "raw", "component"):
+            own: dict[int, list[int]] = {}
+            for k, u in enumerate(cols[2]):
+                own.setdefault(len(u), []).append(k)
+            for n, at in own.items():
+                if n in held:
+                    ids, labels, x, comps = held[n]
+                    cid, label, comp = (np.array([cols[c][k] for k in at]) for c in (0, 1, 3))
+                    link = (_matrix([cols[2][k] for k in at], kind) @ x.T >= threshold) & (label[:, None] == labels[None, :]) & (cid[:, None] != ids[None, :])
+                    total += int(link.sum())
+                    lost += int((link & (comp[:, None] != comps[None, :])).sum())
+        yield _batch({"n": "long", "lost": "long"}, [[total]], [[lost]])
+
+    r = rows.mapInArrow(run, "n long, lost long").agg(F.sum("n").alias("n"), F.sum("lost").alias("lost")).first()
+    return r["n"] or 0, r["lost"] or 0
+
+
+def linked(classes: DataFrame, biggest: int, threshold: float, k: int, tables: int, bits: int, rounds: int, block: int, kind: str) -> DataFrame:
+    """(id, component) of all classes that a link was found for."""
+    parts = n_partitions(classes.sparkSession)
+    raw = classes.select("cid", "raw")
+    keys = ("table", "label", "code")
+    coded = materialize(classes.select("cid", "label", "raw").mapInArrow(_codes(tables, bits, kind), "cid long, label long, table int, code long"), "vec")
+    buckets = materialize(coded.groupBy(*keys).agg(F.count("*").alias("m"), F.min_by("cid", F.xxhash64("cid", "table")).alias("hub")).where("m > 1"), "vec")
+    split = F.ceil(F.col("m") / block).cast("int")
+    dealt = coded.join(buckets, [*keys]).withColumn("part", F.pmod(F.xxhash64("cid", "table"), split))
+    hubs = buckets.where(F.col("m") > block).select(*keys, F.col("hub").alias("cid"), F.explode(F.sequence(F.lit(0), split - 1).cast("array<bigint>")).alias("part"))
+    dealt = dealt.select(*keys, "cid", "part").unionByName(hubs)
+    order = [*keys, "part"]
+    dealt = dealt.join(raw, "cid").withColumn("worst", F.lit(-2.0)).withColumn("seeds", F.col("table") < SEEDED)
+    dealt = dealt.repartition(parts, *order).sortWithinPartitions(*order)
+    schema = ", ".join(f"{n} {t}" for n, t in EDGES.items())
+    edges = materialize(dealt.mapInArrow(_join_groups(tuple(order), k, threshold, kind), schema), "vec")
+    links = [edges.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))]
+
+    def trimmed(found: DataFrame) -> DataFrame:
+        """The best ``k`` neighbours of each vector, four times as many where the list is full of links; ``worst``: its last."""
+        both = found.select("u", "v", "sim").union(found.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")).groupBy("u", "v").agg(F.max("sim").alias("sim"))
+        ranked = both.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v")))
+        full = F.max(F.when((F.col("r") == k) & (F.col("sim") >= threshold), F.lit(4 * k)).otherwise(F.lit(k))).over(Window.partitionBy("u"))
+        kept = ranked.withColumn("most", full).where("r <= most")
+        return kept.withColumn("worst", F.when(F.count("*").over(Window.partitionBy("u")) < F.col("most"), F.lit(-2.0)).otherwise(F.min("sim").over(Window.partitionBy("u")))).select("u", "v", "sim", "worst")
+
+    old = [edges]
+    graph = materialize(trimmed(edges), "vec") if rounds else None
+    size = graph.count() if rounds else 0
+    for _ in range(rounds if size else 0):
+        own = graph.groupBy("u").agg(F.first("worst").alias("worst"))
+        lists = graph.select(F.col("u").alias("center"), F.col("v").alias("cid")).union(graph.select(F.col("v").alias("center"), F.col("u").alias("cid"))).union(own.select(F.col("u").alias("center"), F.col("u").alias("cid"))).distinct()
+        sizes = lists.groupBy("center").agg(F.ceil(F.count("*") / JOIN).cast("int").alias("parts"))
+        lists = lists.join(sizes, "center").withColumn("part", F.pmod(F.xxhash64("cid", "center"), F.col("parts")))
+        lists = lists.join(own.select(F.col("u").alias("cid"), "worst"), "cid").join(raw, "cid").withColumn("seeds", F.lit(True))
+        lists = lists.select("center", "part", "cid", "raw", "worst", "seeds").repartition(parts, "center", "part").sortWithinPartitions("center", "part")
+        found = materialize(lists.mapInArrow(_join_groups(("center", "part"), k, threshold, kind), schema).dropDuplicates(["u", "v"]), "vec")
+        links.append(found.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")))
+        after = materialize(trimmed(graph.select("u", "v", "sim").union(found)), "vec")
+        fresh = after.join(graph, ["u", "v"], "left_anti").count()
+        discard(graph)
+        old.append(found)
+        graph = after
+        if fresh <= 0.01 * size:
+            break
+        size = after.count()
+    every = links[0]
+    for more in links[1:]:
+        every = every.union(more)
+    met = materialize(components(every), "vec")
+
+    if biggest > block:  # else no bucket was split
+        large = buckets.where(F.col("m") > block).select(*keys)
+        member = coded.join(large, [*keys]).join(met.select(F.col("id").alias("cid"), "component"), "cid", "left").select(*keys, "cid", F.coalesce("component", "cid").alias("comp"))
+        member = materialize(member, "vec")
+        per = member.groupBy(*keys, "comp").agg(F.count("*").alias("c")).groupBy(*keys).agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("n_stream"), (F.sum("c") - F.max("c")).alias("n_held")).where("n_held > 0")
+        whole = member.join(per, [*keys]).join(raw, "cid")
+        rows = tiled(whole.where("comp <> main").drop("main"), whole.drop("main"), [*keys], "n_held", "n_stream", block)
+        joins = materialize(rows.mapInArrow(_rest(keys, threshold, kind), "a long, b long"), "vec")
+        if not joins.isEmpty():
+            after = materialize(components(every.union(joins)), "vec")
+            discard(met)
+            met = after
+        for df in (member, joins):
+            discard(df)
+    for df in (coded, buckets, graph, *old):
+        if df is not None:
+            discard(df)
+    return met
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 8, rounds: int = 2, block: int = BLOCK, miss: float = MISS) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors(vec_id, embedding, label)``.
 
     Rows link if their labels are equal and the cosine in double precision is at least ``threshold``. A row with a null id, a
@@ -261,80 +345,50 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 10, ta
     id); vectors of different dimensions do not link; repeated rows and equal vectors are copies that link with each other; an
     empty table gives no rows; further columns are ignored.
 
-    Every list has at most ``k`` entries (four times as many where all of them are links), so no group is expanded into pairs.
-    Inside a component, members within half the threshold angle of one pivot all link (no comparison needed); others are
-    compared, held in blocks, with the members that stream by, and only counts leave the task. ``k``, ``tables`` and ``rounds`` decide
-    how much is left to join for the sweep over whole labels (``swept``), not the result.
+    Neighbour lists have at most ``k`` entries (four times as many where all of them are links) and only lead the way; links are
+    never trimmed. A bucket of up to ``block`` vectors is compared whole; a larger one in parts, each with the bucket's hub, and then
+    whatever lies outside of its largest component with all of it, in tiles. So a pair is lost only if no table brings it
+    together (probability ``miss`` at the threshold, less above) and no neighbour leads to it. Inside a component, members within half the
+    threshold angle of one pivot all link (no comparison needed); others are compared in tiles, and only counts leave the task.
     """
     spark = vectors.sparkSession
-    parts = n_partitions(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"), F.col("label").cast("long").alias("label"))
-    rows = materialize(src.mapInArrow(_unit_rows, "vec_id long, label long, unit binary").withColumn("print", F.when(F.col("unit").isNotNull(), F.md5("unit"))), "vec")
-    classes = rows.where("print is not null").groupBy("label", "print").agg(F.min("vec_id").alias("cid"), F.count("*").alias("w"), F.first("unit").alias("unit"))
-    classes = materialize(classes.groupBy("label", "print", "cid", "w").agg(F.first("unit").alias("unit")), "vec")
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
+    values = F.col("embedding") if kind == "<f4" else F.col("embedding").cast("array<double>")
+    src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), values.alias("embedding"), F.col("label").cast("long").alias("label"))
+    rows = materialize(src.mapInArrow(_unit_rows, "vec_id long, label long, raw binary, print binary"), "vec")
+    classes = rows.where("print is not null").groupBy("label", "print").agg(F.min("vec_id").alias("cid"), F.count("*").alias("w"), F.min("raw").alias("raw"))
+    classes = materialize(classes, "vec")
     biggest = classes.groupBy("label").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    bits = max(0, min(30, math.ceil(math.log2(max(biggest, 1) / BLOCK)) + 1)) if biggest > BLOCK else 0
-    unit = classes.select("cid", "unit")
-
-    coded = classes.select("cid", "label", "unit").mapInArrow(_codes(tables, bits, 17), "cid long, label long, table int, code long")
-    coded = materialize(coded, "vec")
-    sizes = coded.groupBy("table", "label", "code").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 0")
-    dealt = coded.join(sizes, ["table", "label", "code"]).withColumn("part", F.pmod(F.xxhash64("cid", "table"), F.col("parts")))
-    keys = ("table", "label", "code", "part")
-    dealt = dealt.join(unit, "cid").repartition(parts, *keys).sortWithinPartitions(*keys)
-    graph = dealt.select(*keys, "cid", "unit").mapInArrow(_join_groups(keys, k, threshold), "u long, v long, sim double")
-
-    def trimmed(edges: DataFrame) -> DataFrame:
-        """The best ``k`` neighbours of each vector, four times as many where the list is full of links."""
-        both = edges.select("u", "v", "sim").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")).groupBy("u", "v").agg(F.max("sim").alias("sim"))
-        ranked = both.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), F.xxhash64("u", "v"))))
-        full = F.max(F.when((F.col("r") == k) & (F.col("sim") >= threshold), F.lit(4 * k)).otherwise(F.lit(k))).over(Window.partitionBy("u"))
-        return ranked.withColumn("most", full).where("r <= most").select("u", "v", "sim")
-
-    graph = materialize(trimmed(graph), "vec")
-    size = graph.count()
-    for _ in range(rounds if size else 0):
-        lists = graph.select(F.col("u").alias("center"), F.col("v").alias("cid")).union(graph.select(F.col("v").alias("center"), F.col("u").alias("cid"))).union(graph.select(F.col("u").alias("center"), F.col("u").alias("cid"))).distinct()
-        lists = lists.join(lists.groupBy("center").agg(F.ceil(F.count("*") / JOIN).alias("parts")), "center")
-        lists = lists.withColumn("part", F.pmod(F.xxhash64("cid", "center"), F.col("parts"))).join(unit, "cid")
-        lists = lists.repartition(parts, "center", "part").sortWithinPartitions("center", "part").select("center", "part", "cid", "unit")
-        found = lists.mapInArrow(_join_groups(("center", "part"), k, threshold), "u long, v long, sim double").dropDuplicates(["u", "v"])
-        after = materialize(trimmed(graph.union(found)), "vec")
-        fresh = after.join(graph, ["u", "v"], "left_anti").agg(F.count_distinct("u").alias("n"), F.count("*").alias("e")).first()
-        discard(graph)
-        graph = after
-        if fresh["e"] <= 0.01 * size:
+    bits = max(0, min(30, math.ceil(math.log2(max(biggest, 1) / block)) + 1)) if biggest > block else 0
+    same = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    tables = max(1, math.ceil(math.log(miss) / math.log(1 - same))) if same < 1 else 1
+    while True:
+        links = linked(classes, biggest, threshold, k, tables, bits, rounds, block, kind)
+        if not bits or not missed(classes, links, threshold, kind)[1]:
             break
-        size = after.count()
-
-    links = components(graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")))
-    links = swept(classes, materialize(links, "vec"), threshold)
+        discard(links)
+        tables *= 2
 
     # exact counts inside components
     half = math.cos(math.acos(min(1.0, threshold)) / 2 - 1e-6)
-    member = classes.join(links, classes["cid"] == links["id"]).select("component", "cid", "unit", "w")
-    pivots = member.where("cid = component").select("component", F.col("unit").alias("pivot"))
+    member = classes.join(links, classes["cid"] == links["id"]).select("component", "cid", "raw", "w")
+    pivots = member.where("cid = component").select("component", F.col("raw").alias("pivot"))
 
     def near_pivot(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for comp, cid, units, w, pivot in arrow_rows(batches, "component", "cid", "unit", "w", "pivot"):
-            core = [bool(np.frombuffer(u) @ np.frombuffer(p) >= half) for u, p in zip(units, pivot, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(comp, pa.int64()), pa.array(cid, pa.int64()), pa.array(units, pa.binary()), pa.array(w, pa.int64()), pa.array(core)], ["component", "cid", "unit", "w", "core"])
+        for comp, cid, raws, w, pivot in arrow_rows(batches, "component", "cid", "raw", "w", "pivot"):
+            core = [bool(_matrix([u], kind)[0] @ _matrix([p], kind)[0] >= half) for u, p in zip(raws, pivot, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(comp, pa.int64()), pa.array(cid, pa.int64()), pa.array(raws, pa.binary()), pa.array(w, pa.int64()), pa.array(core)], ["component", "cid", "raw", "w", "core"])
 
-    member = materialize(member.join(pivots, "component").mapInArrow(near_pivot, "component long, cid long, unit binary, w long, core boolean"), "vec")
-    sizes = member.groupBy("component").agg(F.sum(F.when(F.col("core"), F.col("w")).otherwise(0)).alias("core_w"), F.sum((~F.col("core")).cast("long")).alias("outside"))
+    member = materialize(member.join(pivots, "component").mapInArrow(near_pivot, "component long, cid long, raw binary, w long, core boolean"), "vec")
+    sizes = member.groupBy("component").agg(F.sum(F.when(F.col("core"), F.col("w")).otherwise(0)).alias("core_w"), F.sum((~F.col("core")).cast("long")).alias("n_held"), F.count("*").alias("n_stream"))
     sized = member.join(sizes, "component")
     base = sized.select("cid", F.when(F.col("core"), F.col("core_w") - F.col("w")).otherwise(F.lit(0)).alias("n"))
-    blocks = F.ceil(F.col("outside") / HELD).cast("int")
-    cols = ["component", "cid", "unit", "w", "core"]
-    outer = sized.where("not core").select(*cols, F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("block"), F.lit(0).alias("role"))
-    stream = sized.where("outside > 0").select(*cols, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("role"))
-    ordered = outer.union(stream).repartition(parts, "component", "block").sortWithinPartitions("component", "block", "role")
-    compared = ordered.select("component", "block", "role", "cid", "unit", "w", "core").mapInArrow(_count(threshold), "cid long, n long")
-    linked = base.union(compared).groupBy("cid").agg(F.sum("n").alias("n"))
-    result = classes.select("label", "print", "cid", "w").join(links.select(F.col("id").alias("cid"), "component"), "cid", "left").join(linked, "cid", "left")
+    cols = ["component", "cid", "raw", "w", "core", "n_held", "n_stream"]
+    ordered = tiled(sized.where("not core").select(*cols), sized.where("n_held > 0").select(*cols), ["component"], "n_held", "n_stream", block)
+    counted = base.union(ordered.mapInArrow(_count(threshold, kind), "cid long, n long")).groupBy("cid").agg(F.sum("n").alias("n"))
+    result = classes.select("label", "print", "cid", "w").join(links.select(F.col("id").alias("cid"), "component"), "cid", "left").join(counted, "cid", "left")
     result = result.select("label", "print", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).cast("long").alias("n_links"), F.coalesce("component", "cid").alias("component_"))
     out = rows.select("vec_id", "label", "print").join(result, ["label", "print"], "left")
     component = F.when(F.col("print").isNull(), F.col("vec_id")).otherwise(F.col("component_"))

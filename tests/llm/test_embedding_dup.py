@@ -1,9 +1,11 @@
 """Embedding near-duplicates against all pairs within labels."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import embedding_dup
+from tests.compare import differences, duck
 
 
 def brute(rows, threshold):
@@ -33,7 +35,9 @@ def table(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
-def test_links_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [embedding_dup.BLOCK, 16, 3])
+def test_links_equal_brute_force(spark, block):
+    """With small blocks, also buckets that are split, tiles of several blocks and slices, and many tables."""
     rng = np.random.default_rng(5)
     rows, n = [], 0
     for label in (0, 1, None):
@@ -48,7 +52,7 @@ def test_links_equal_brute_force(spark):
         rows.append((n + 1, [float(np.float32(x)) for x in hot + rng.normal(size=12) * 0.2], 1))
         n += 2
     rows += [(n, None, 0), (n + 1, [0.0] * 12, 0), (n + 2, [1.0] * 11 + [None], 0), (n + 3, [float("nan")] * 12, 0), (n + 4, [float("inf")] + [1.0] * 11, 0), (n + 5, [], 0), (n + 6, [1.0, 2.0], 0), (n + 7, [2.0, 4.0], 0), (n + 8, [1e-30] * 12, 0), (n + 9, [1e30] * 12, 0)]
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dup.near_duplicates(table(spark, rows).withColumn("unit", F.lit(1)).withColumn("w", F.lit("x")), 0.93).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dup.near_duplicates(table(spark, rows).withColumn("unit", F.lit(1)).withColumn("w", F.lit("x")), 0.93, block=block).collect()}
     want = brute(rows, 0.93)
     assert len(got) == len(rows)
     assert {k: v for k, v in got.items() if v != want[k]} == {}
@@ -74,22 +78,10 @@ def test_dense_groups_that_one_link_joins(spark):
     assert found(spark, rows) == want
 
 
-def test_labels_of_many_blocks(spark, monkeypatch):
-    """Blocks held in several waves compare every pair, also of single vectors that no bucket brought together."""
-    monkeypatch.setattr(embedding_dup, "SWEPT", 16)
-    rng = np.random.default_rng(2)
-    rows, n = [], 0
-    for _ in range(90):
-        center = rng.normal(size=10)
-        for _ in range(2):
-            rows.append((n, [float(np.float32(x)) for x in center + rng.normal(size=10) * 0.2], 0))
-            n += 1
-    want = brute(rows, 0.93)
-    v = table(spark, rows)
-    classes = v.mapInArrow(embedding_dup._unit_rows, "vec_id long, label long, unit binary").withColumnRenamed("vec_id", "cid")
-    none = spark.createDataFrame([], "id long, component long")
-    got = {r["id"]: r["component"] for r in embedding_dup.swept(classes, none, 0.93).collect()}
-    assert got == {i: c for i, (links, c, _) in want.items() if links} and len(got) > 50
+def test_two_dense_groups_in_split_buckets(spark):
+    turns = [*np.linspace(0, 5, 100), *np.linspace(5 + 21.54, 10 + 21.54, 100)]
+    rows = [(i, [float(np.float32(np.cos(np.radians(t)))), float(np.float32(np.sin(np.radians(t))))], 0) for i, t in enumerate(turns)]
+    assert found(spark, rows, block=16, k=3, rounds=1) == brute(rows, 0.93)
 
 
 def pairs_apart(seed: int, many: int):
@@ -103,13 +95,27 @@ def pairs_apart(seed: int, many: int):
     return [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(rows)]
 
 
-def test_lost_pairs_beside_a_large_group(spark):
-    """One table parts pairs that are far below a thousandth of all links."""
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_pairs_beside_a_large_group(spark, rounds):
+    """Single pairs that are far below a thousandth of all links, with and without neighbours that lead to them."""
     rows = pairs_apart(8, 300)
-    assert found(spark, rows, tables=1, rounds=0) == brute(rows, 0.93)
+    assert found(spark, rows, rounds=rounds, block=32) == brute(rows, 0.93)
 
 
-def test_pairs_that_no_bucket_holds(spark):
-    """Nothing leads to them, as neighbours below ``ROUTE`` are in no list."""
+def test_an_audit_finds_what_few_tables_lose(spark):
+    """With one table and no rounds most pairs are lost; the audit sees it, and twice the tables are taken until none is."""
     rows = pairs_apart(9, 0)
-    assert found(spark, rows, k=160, tables=1, rounds=0) == brute(rows, 0.93)
+    v = table(spark, rows)
+    classes = v.mapInArrow(embedding_dup._unit_rows, "vec_id long, label long, raw binary, print binary").withColumnRenamed("vec_id", "cid")
+    few = embedding_dup.linked(classes, len(rows), 0.93, 0, 1, 6, 0, 16, "<f8" if len(classes.first()["raw"]) == 128 else "<f4")
+    n, lost = embedding_dup.missed(classes, few, 0.93, "<f4", queries=len(rows))
+    want = brute(rows, 0.93)
+    assert n == sum(links for links, _, _ in want.values()) and lost > 0
+    assert found(spark, rows, block=16, miss=0.5) == want
+
+
+def test_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    for block in (embedding_dup.BLOCK, 8):
+        assert differences(embedding_dup.near_duplicates(vectors, 0.93, block=block), embedding_dup.oracle(0.93), duck(sf)) == []
