@@ -154,6 +154,6 @@ def text_batches(batches: Iterator, *names: str, text: str = "text", most: int |
             out = [cols[n].slice(begin, stop - begin).to_pylist() for n in names]
             if text in names:
                 at = names.index(text)
-                out[at] = [t or "" for t in out[at]]
+                out[at] = ["" if t is None else t for t in out[at]]
             yield tuple(out)
             begin = stop
