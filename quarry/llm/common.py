@@ -122,7 +122,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if before[0]:
             raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     child = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
-    return child.union(child.select(F.col("component").alias("id"), "component").distinct())
+    out = child.union(child.select(F.col("component").alias("id"), "component").distinct())
+    out._quarry_path = edges._quarry_path  # ``discard`` works on it
+    return out
 
 
 def slices(lengths: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Hashes, arrow_rows, components, documents, materialize, mix64, n_partitions, text_batches
+from quarry.llm.common import Hashes, arrow_rows, components, discard, documents, materialize, mix64, n_partitions, text_batches
 
 #: 32 bands of 6 registers: at similarity 0.85 a pair is missed with probability 3e-7, at 0.8 with 6e-5.
 BANDS, ROWS = 32, 6
@@ -23,8 +23,8 @@ REGISTERS = BANDS * ROWS
 B, A, Q = 1.001, 20.0, 65534
 #: Members that one task compares with one representative.
 FAN = 256
-#: Members of a bucket's rest that are held while the bucket streams by.
-BLOCK = 512
+#: Members of a bucket's rest that one task holds, while as many times SLICE of the bucket's members stream by.
+BLOCK, SLICE = 256, 4
 
 _NOT_SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -183,7 +183,7 @@ def _set_rows(batches: Iterator) -> Iterator:
 
 
 def _compare_rest(percent: int):
-    """Streams rows sorted by (band, key, block, role): a block of a bucket's rest is held while the whole bucket passes by.
+    """Streams rows sorted by (band, key, block, slice, role): a block of a bucket's rest is held while a slice of the bucket passes by.
 
     Pairs are compared in the first band that they share, by sketches and then by whole sets; links within a tree that the
     task already has are not needed and not emitted.
@@ -205,33 +205,35 @@ def _compare_rest(percent: int):
         def against(band: int, chunk: list[tuple]) -> Iterator[tuple[int, int]]:
             """Rows are (cid, component, main, registers, elements)."""
             regs = np.stack([h[3] for h in held])
-            sizes = np.array([len(h[4]) for h in held])
-            for cid, component, main, row, elements in chunk:
-                n = len(elements)
+            sizes = np.array([len(h[4]) // 8 for h in held])
+            for cid, component, main, row, packed in chunk:
+                n, elements = len(packed) // 8, None
                 equal = regs == row
                 ok = (equal.sum(1) >= least) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
                 for k in np.flatnonzero(ok).tolist():
-                    a, ca, _, _, own = held[k]
+                    a, ca, _, _, other = held[k]
                     if ca == component or (component != main and a >= cid) or root(ca) == root(component):
                         continue
                     if int(np.argmax(equal[k].reshape(BANDS, ROWS).all(1))) != band:
                         continue
-                    both = len(own & elements)
-                    if 100 * both >= percent * (len(own) + n - both):
+                    if elements is None:
+                        elements = np.frombuffer(packed, dtype=np.uint64)
+                    both = len(np.intersect1d(np.frombuffer(other, dtype=np.uint64), elements, assume_unique=True))
+                    if 100 * both >= percent * (len(other) // 8 + n - both):
                         parent[root(ca)] = root(component)
                         yield a, cid
 
-        names = ("band", "key", "block", "role", "cid", "component", "main", "sketch", "elements")
+        names = ("band", "key", "block", "slice", "role", "cid", "component", "main", "sketch", "elements")
         for cols in arrow_rows(batches, *names):
             out: list[tuple[int, int]] = []
             chunk: list[tuple] = []
-            for band, key, block, role, cid, component, main, regs, elements in zip(*cols, strict=True):
-                if at != (band, key, block):
+            for band, key, block, slice_, role, cid, component, main, regs, elements in zip(*cols, strict=True):
+                if at != (band, key, block, slice_):
                     if chunk and held:
                         out += against(at[0], chunk)
-                    at, held, chunk = (band, key, block), [], []
+                    at, held, chunk = (band, key, block, slice_), [], []
                     parent.clear()
-                row = (cid, component, main, np.frombuffer(regs, dtype=np.uint16), frozenset(np.frombuffer(elements, dtype=np.uint64).tolist()))
+                row = (cid, component, main, np.frombuffer(regs, dtype=np.uint16), elements)
                 (held if role == 0 else chunk).append(row)
             if chunk and held:
                 out += against(at[0], chunk)
@@ -240,7 +242,7 @@ def _compare_rest(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, fan: int = FAN, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs(doc_id, text)``.
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their sets of five-word shingles; component_id is
@@ -250,19 +252,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Copies of a set become one class before anything is compared. In each band bucket, members are first compared with
     representatives only (the class of the smallest id in even bands, a band's own pseudo-random one in odd bands); links
-    make components; then whatever lies in another component than most of its bucket is compared, in blocks, with all of
-    the bucket that streams by. So no group is expanded into all of its pairs, yet every candidate pair ends in one component or is compared.
+    make components; then whatever lies in another component than most of its bucket is compared with all of the bucket, in tiles
+    of a block of the one and a slice of the other. So no group is expanded into all of its pairs, yet every candidate pair ends in one component or is compared.
     Work beyond the input is in proportion to band rows (32 narrow rows a class) and to texts of candidates.
     """
     spark = docs.sparkSession
     texts = documents(docs)
     marked = materialize(texts.mapInArrow(_sketch_rows, "doc_id long, n_shingles long, print binary, sketch binary"), "near")
     classes = marked.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes.withColumn("cid", F.xxhash64("print")), "near")
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "near")  # numbers of classes, fixed once written
     live = classes.where("doc is not null")
     bands = materialize(live.select("cid", "n", "doc", "sketch").mapInArrow(_band_rows, "cid long, n long, doc long, band short, key long"), "near")
     shared = bands.groupBy("band", "key").agg(F.count("*").alias("c"), F.min_by("cid", F.struct("doc", "cid")).alias("first"), F.min_by("cid", F.xxhash64("cid", "band")).alias("any")).where("c > 1")
-    buckets = materialize(bands.join(shared, ["band", "key"]).withColumn("hub", F.when(F.col("band") % 2 == 0, F.col("first")).otherwise(F.col("any"))).select("band", "key", "cid", "n", "hub", "c"), "near")
+    buckets = materialize(bands.join(shared, ["band", "key"]).withColumn("hub", F.when(F.col("band") % 2 == 0, F.col("first")).otherwise(F.col("any"))).select("band", "key", "cid", "hub"), "near")
+    discard(bands)
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Links among (a, b) pairs, b compared with a: sketches first, then whole texts."""
@@ -271,7 +274,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         ends = ends.join(sizes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y")), "b")
         ends = ends.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         likely = materialize(ends.mapInArrow(_likely(percent / 100 - 0.25), "a long, b long"), "near")
-        fans = likely.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("fan"))
+        likely_pairs.append(likely)
+        fans = likely.groupBy("a").agg(F.ceil(F.count("*") / fan).alias("fan"))
         salted = likely.join(fans, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("fan")))
         hubs = salted.select(F.col("a").alias("hub"), "salt", F.col("a").alias("id"), F.lit(0).alias("role")).distinct()
         rows = hubs.union(salted.select(F.col("a").alias("hub"), "salt", F.col("b").alias("id"), F.lit(1).alias("role")))
@@ -281,23 +285,34 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         return dealt.select("hub", "salt", "id", "role", "print", "text").mapInArrow(_confirm(percent), "a long, b long")
 
     stars = buckets.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+    likely_pairs: list[DataFrame] = []
     links = materialize(verify(stars), "near")
+    for df in likely_pairs:
+        discard(df)
     met = components(links)
-    known = buckets.join(met, buckets["cid"] == met["id"], "left").select("band", "key", "cid", "n", F.coalesce("component", "cid").alias("component"))
+    known = buckets.join(met, buckets["cid"] == met["id"], "left").select("band", "key", "cid", F.coalesce("component", "cid").alias("component"))
     known = materialize(known, "near")
+    discard(buckets)
+    discard(met)
     per = known.groupBy("band", "key", "component").agg(F.count("*").alias("c"))
-    main = per.groupBy("band", "key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main"), (F.sum("c") - F.max("c")).alias("rest")).where("parts > 1")
-    mixed = materialize(known.join(main.select("band", "key", "main", F.ceil(F.col("rest") / BLOCK).alias("blocks")), ["band", "key"]), "near")
+    main = per.groupBy("band", "key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main"), (F.sum("c") - F.max("c")).alias("rest"), F.sum("c").alias("size")).where("parts > 1")
+    tiles = main.select("band", "key", "main", F.ceil(F.col("rest") / block).cast("int").alias("blocks"), F.ceil(F.col("size") / (SLICE * block)).cast("int").alias("slices"))
+    mixed = materialize(known.join(tiles, ["band", "key"]), "near")
+    discard(known)
     wanted = live.select("cid", "doc", "print").join(mixed.select("cid").distinct(), "cid", "left_semi")
     found = texts.join(wanted, texts["doc_id"] == wanted["doc"]).select("cid", "print", "text")
     sets = materialize(found.mapInArrow(_set_rows, "cid long, elements binary").dropDuplicates(["cid"]).join(live.select("cid", "sketch"), "cid"), "near")
-    whole = F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block")
-    rest = F.lit(0).alias("role"), F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), n).cast("int")
     base = ["band", "key", "cid", "component", "main"]
-    rows = mixed.where("component <> main").select(*base, *rest).union(mixed.select(*base, *whole)).join(sets, "cid")
-    rows = rows.repartition(n_partitions(spark), "band", "key", "block").sortWithinPartitions("band", "key", "block", "role")
-    more = materialize(rows.select(*base, "role", "block", "elements", "sketch").mapInArrow(_compare_rest(percent), "a long, b long"), "near")
+    held = mixed.where("component <> main").select(*base, F.lit(0).alias("role"), part("blocks", 0).alias("block"), every("slices").alias("slice"))
+    stream = mixed.select(*base, F.lit(1).alias("role"), every("blocks").alias("block"), part("slices", 1).alias("slice"))
+    tile = ["band", "key", "block", "slice"]
+    rows = held.union(stream).join(sets, "cid").repartition(n_partitions(spark), *tile).sortWithinPartitions(*tile, "role")
+    more = materialize(rows.select(*base, "role", "block", "slice", "elements", "sketch").mapInArrow(_compare_rest(percent), "a long, b long"), "near")
     ends = components(links.union(more))
+    for df in (mixed, sets, links, more):
+        discard(df)
     named = classes.select("print", "doc", "cid").join(ends, classes["cid"] == ends["id"], "left").withColumn("of", F.coalesce("component", "cid"))
     lows = named.where("component is not null").groupBy("of").agg(F.min("doc").alias("low"))
     firsts = named.join(lows, "of", "left").select("print", F.coalesce("low", "doc").alias("component_"))
@@ -307,10 +322,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one whose doc_id is its group's smallest (all rows with a
-    null doc_id stay; of rows that repeat a kept doc_id each stays)."""
-    kept = near_duplicates(docs.select("doc_id", "text"), percent).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_anti").select(*docs.columns)
+    """``docs``, with all columns, with one document of each near-duplicate group: the one whose doc_id is its group's smallest.
+
+    All rows with a null doc_id stay, as do texts without words; of rows that repeat a kept doc_id each stays; an empty table
+    gives no rows.
+    """
+    gone = near_duplicates(docs.select("doc_id", "text"), percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
 def oracle(percent: int = 85) -> str:

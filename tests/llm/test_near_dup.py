@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from quarry.llm import near_dup
 from tests.llm.helpers import clashing, documents, odd_texts, prose
 
@@ -51,6 +53,25 @@ def test_components_equal_brute_force(spark):
         assert got == brute(texts, percent)
 
 
+@pytest.mark.parametrize("fan, block", [(2, 2), (5, 3)])
+def test_small_tiles(spark, fan, block):
+    """Hubs with several salts, buckets of several blocks and slices."""
+    texts = corpus()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(documents(spark, texts), 80, fan=fan, block=block).collect()}
+    assert got == brute(texts, 80)
+
+
+def test_two_groups_that_share_all_buckets(spark):
+    """Chains of near copies: members link with their neighbours only, so stars leave much to the tiles."""
+    rng = random.Random(4)
+    words = prose(rng, 200).split(" ")
+    texts = [" ".join(words[:k] + [f"new{j}" for j in range(k)] + words[2 * k :]) for k in range(0, 60, 2)]
+    want = brute(texts, 80)
+    for block in (2, near_dup.BLOCK):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(documents(spark, texts), 80, block=block).collect()}
+        assert got == want
+
+
 def test_empty_null_and_repeated(spark):
     docs = documents(spark, ["a b c d e f", None])
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
