@@ -30,10 +30,12 @@ def local_session(app: str = "quarry", cores: str | int | None = None, partition
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, which all machines share; one of our own only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``, which all machines share; one of our own only in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="quarry-")
