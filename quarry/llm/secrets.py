@@ -20,6 +20,8 @@ RANDOM = "random"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
 #: Runs of the alphabet that are long enough to be judged by the models.
 CANDIDATE = r"[A-Za-z0-9+/_=.-]{20,}"
+#: Parts of such runs between separators, judged on their own where the whole run is ordinary.
+PIECE = r"[A-Za-z0-9+]{20,}"
 
 _WORDS = """account action address agent amount archive array async backup balance batch binary block bridge buffer build bundle
 cache call cancel chain channel check child client close cluster code color column command common compare config connect
@@ -118,12 +120,33 @@ def _as_span(no: int, kind: str):
     return lambda x: F.struct(x["s"]["start"].alias("start"), F.lit(no).alias("kind_no"), x["s"]["end"].alias("end"), F.lit(kind).alias("kind"))
 
 
+def _covered(spans: Column) -> Column:
+    """``t_`` with every code point inside of ``spans``, which are sorted, replaced by a blank."""
+    walk = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.concat(
+                acc["out"],
+                F.array(
+                    F.substring(F.col("t_"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))),
+                    F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0))),
+                ),
+            ).alias("out"),
+        ),
+        lambda acc: F.concat(acc["out"], F.array(F.substring(F.col("t_"), acc["at"] + 1, F.length("t_")))),
+    )
+    return F.array_join(walk, "")
+
+
 def find(docs: DataFrame, ratios: tuple[float, ...] | None = None, threshold: float = 0.5, base_only: bool = False) -> DataFrame:
     """``docs`` with ``found``: an array of (start, kind_no, end, kind) of all spans by start, end exclusive, in code points.
 
-    Base spans are leftmost non-overlapping matches of each kind; a run of the alphabet whose mean log-likelihood ratio for
-    each character pair is over ``threshold`` nats is added as kind ``random`` where it overlaps no base span. A null text is empty.
-    No shuffle, no Python; work grows with the text and, for a text of k spans, with k times the base spans.
+    Base spans are leftmost non-overlapping matches of each kind. What they leave of a run of the alphabet is judged by its mean
+    log-likelihood ratio for each character pair: over ``threshold`` nats the run is added as kind ``random``; where it is not,
+    so are its pieces between separators that are over it, so that a key at the end of a path or beside another secret counts.
+    No added span overlaps a base span. A null text is empty. No shuffle, no Python; work grows with the text.
     """
     ratios = ratios or train(tuple(samples()))
     out = docs.withColumn("t_", F.coalesce(F.col("text"), F.lit("")))
@@ -143,20 +166,24 @@ def find(docs: DataFrame, ratios: tuple[float, ...] | None = None, threshold: fl
         for i, c in enumerate(ALPHABET):
             index[ord(c)] = i
         lut, cls = _array(ratios, "double"), _array(index, "int")
-        out = out.withColumn("w_r", _matches(F.col("t_"), CANDIDATE, 0)).withColumn("s_r", _span_rows("t_", CANDIDATE, "w_r"))
+        # base spans are blanked, so runs end at them; places stay as they are
+        out = out.withColumn("m_", F.when(F.size("base_") > 0, _covered(F.array_sort("base_"))).otherwise(F.col("t_")))
+        out = out.withColumn("w_r", _matches(F.col("m_"), CANDIDATE, 0)).withColumn("s_r", _span_rows("m_", CANDIDATE, "w_r"))
+        out = out.withColumn("w_p", _matches(F.col("m_"), PIECE, 0)).withColumn("s_p", _span_rows("m_", PIECE, "w_p"))
 
         def ratio(s: Column) -> Column:
             codes = F.transform(F.split(s, ""), lambda c: F.element_at(cls, F.ascii(c) + 1))
             pairs = F.zip_with(F.slice(codes, 1, F.length(s) - 1), F.slice(codes, 2, F.length(s) - 1), lambda a, b: F.element_at(lut, a * k + b + 1))
             return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / (F.length(s) - 1)
 
-        free = lambda s: ~F.exists("base_", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-        kept = F.filter(F.arrays_zip(F.col("s_r").alias("s"), F.col("w_r").alias("m")), lambda x: free(x["s"]) & (ratio(x["m"]) > threshold))
-        more = F.transform(kept, _as_span(len(BASE), RANDOM))
+        telling = lambda s, w: F.filter(F.arrays_zip(F.col(s).alias("s"), F.col(w).alias("m")), lambda x: ratio(x["m"]) > threshold)
+        out = out.withColumn("runs_", telling("s_r", "w_r"))
+        apart = lambda x: ~F.exists("runs_", lambda r: (r["s"]["start"] <= x["s"]["start"]) & (r["s"]["end"] >= x["s"]["end"]))
+        more = F.transform(F.concat("runs_", F.filter(telling("s_p", "w_p"), apart)), _as_span(len(BASE), RANDOM))
         out = out.withColumn("found", F.array_sort(F.concat("base_", more)))
     else:
         out = out.withColumn("found", F.array_sort("base_"))
-    return out.drop("base_", "w_r", "s_r", *[f"{p}_{kind}" for p in "ws" for kind in BASE])
+    return out.drop("base_", "m_", "w_r", "s_r", "w_p", "s_p", "runs_", *[f"{p}_{kind}" for p in "ws" for kind in BASE])
 
 
 def _joined(spans: Column) -> Column:
@@ -201,18 +228,25 @@ def oracle(threshold: float = 0.5) -> str:
         for no, (kind, (_, least, group)) in enumerate(BASE.items())
     )
     counts = ", ".join(f"count(*) filter (kind = '{kind}') as n_{kind}" for kind in [*BASE, RANDOM])
+    spans = lambda p, k: (
+        f"{p}s as (select doc_id, no, kind, least, unnest(gaps[1:len(hits)]) as gap, unnest(hits) as hit, unnest(parts) as part, unnest(range(len(hits))) as i from {k}),"
+        f" {p}p as (select *, sum(length(gap) + length(hit)) over (partition by doc_id, no order by i) as stop from {p}s),"
+        f" {p}spans_ as (select doc_id, no, kind, hit, part, least, (stop - length(hit))::bigint as start, stop::bigint as stop from {p}p)"
+    )
     joined = "string_agg(kind || ':' || start || ':' || stop, ',' order by start, no)"
     return f"""
     with d as (select doc_id, coalesce(text, '') as t from documents),
     lut as (select {list(train(tuple(samples())))!r}::double[] as r),
-    k as (select * from ({kinds}) where len(hits) > 0 union all
-        select doc_id, {len(BASE)}, '{RANDOM}', string_split_regex(t, '{CANDIDATE}'), regexp_extract_all(t, '{CANDIDATE}'), regexp_extract_all(t, '{CANDIDATE}'), 0 from d where regexp_matches(t, '{CANDIDATE}')),
-    s as (select doc_id, no, kind, least, unnest(gaps[1:len(hits)]) as gap, unnest(hits) as hit, unnest(parts) as part, unnest(range(len(hits))) as i from k),
-    p as (select *, sum(length(gap) + length(hit)) over (partition by doc_id, no order by i) as stop from s),
-    spans_ as (select doc_id, no, kind, hit, (stop - length(hit))::bigint as start, stop::bigint as stop from p where length(part) >= least),
-    base as (select * from spans_ where no < {len(BASE)}),
-    more as (select x.* from spans_ x, lut where no = {len(BASE)} and not exists (select 1 from base b where b.doc_id = x.doc_id and b.start < x.stop and b.stop > x.start)
-        and list_sum(list_transform(range(1, length(hit)), lambda j: r[(strpos('{ALPHABET}', hit[j]) - 1) * {len(ALPHABET)} + strpos('{ALPHABET}', hit[j + 1])])) / (length(hit) - 1) > {threshold}),
+    k as (select * from ({kinds}) where len(hits) > 0),
+    {spans("", "k")},
+    base as (select doc_id, no, kind, start, stop from spans_ where length(part) >= least),
+    b as (select *, coalesce(max(stop) over (partition by doc_id order by start, no, stop rows between unbounded preceding and 1 preceding), 0) as upto from base),
+    cover as (select doc_id, string_agg(substr(t, upto + 1, greatest(start - upto, 0)) || repeat(' ', greatest(stop - greatest(start, upto), 0)), '' order by start, no, stop) || substr(any_value(t), max(stop) + 1) as t from b join d using (doc_id) group by doc_id),
+    m as (select doc_id, coalesce(c.t, d.t) as t from d left join cover c using (doc_id)),
+    mk as ({" union all ".join(f"select doc_id, {no} as no, '{RANDOM}' as kind, string_split_regex(t, '{p}') as gaps, regexp_extract_all(t, '{p}') as hits, regexp_extract_all(t, '{p}') as parts, 0 as least from m where regexp_matches(t, '{p}')" for no, p in ((len(BASE), CANDIDATE), (len(BASE) + 1, PIECE)))}),
+    {spans("m", "mk")},
+    telling as (select x.* from mspans_ x, lut where list_sum(list_transform(range(1, length(hit)), lambda j: r[(strpos('{ALPHABET}', hit[j]) - 1) * {len(ALPHABET)} + strpos('{ALPHABET}', hit[j + 1])])) / (length(hit) - 1) > {threshold}),
+    more as (select doc_id, {len(BASE)} as no, kind, start, stop from telling x where no = {len(BASE)} or not exists (select 1 from telling y where y.doc_id = x.doc_id and y.no = {len(BASE)} and y.start <= x.start and y.stop >= x.stop)),
     whole as (select doc_id, {joined} as spans, coalesce({joined} filter (no < {len(BASE)}), '') as base, {counts} from (select * from base union all select * from more) group by doc_id)
     select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, coalesce(n_random, 0) as n_random, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
     from d left join whole using (doc_id)"""
