@@ -1,7 +1,8 @@
 """Operators over ordered sequences: running sums, range aggregates, next greater and smaller elements, subsequences, caches.
 
 What a window frame or a sum can express stays in the JVM. The stack- and state-based ones stream their rows, sorted by group and
-order, through one task a group: what is held is the state (a stack, a list of tails, a cache), never the group.
+order, through one task a group: what is held is the state (a stack, a list of tails, a cache), never the group. Least-recently-used
+caches are replayed slice by slice.
 """
 
 from __future__ import annotations
@@ -46,9 +47,11 @@ def sliding_max(rows: DataFrame, group: str, order: list[str], value: str, k: in
     return out.where(F.col("n_") >= max(k, 1)).where(F.lit(k > 0)).drop("n_")
 
 
-def scan(rows: DataFrame, group: str, order: list[str], columns: list[str], start: Callable, schema: str) -> DataFrame:
+def scan(rows: DataFrame, group: str | list[str], order: list[str], columns: list[str], start: Callable, schema: str) -> DataFrame:
     """Streams rows by group and order through a state: ``start()`` gives (step, end), which take a row or nothing, and yield rows."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = [group] if isinstance(group, str) else group
+    n = len(groups)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -58,27 +61,31 @@ def scan(rows: DataFrame, group: str, order: list[str], columns: list[str], star
         for batch in batches:
             out = []
             cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for g, *row in zip(*cols, strict=True):
+            for row in zip(*cols, strict=True):
+                g = row[:n]
                 if step is None or g != at:
                     if end is not None:
-                        out += [(at, *r) for r in end()]
+                        out += [(*at, *r) for r in end()]
                     at, (step, end) = g, start()
-                out += [(g, *r) for r in step(*row)]
+                out += [(*g, *r) for r in step(*row[n:])]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(target)], schema=target)
         if end is not None:
-            out = [(at, *r) for r in end()]
+            out = [(*at, *r) for r in end()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(target)], schema=target)
 
     import pyarrow as pa
 
     types = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
-    group_type = rows.schema[group].dataType.simpleString().replace("bigint", "long")
-    whole = f"{group} {group_type}, {schema}"
+    whole = ", ".join([*(f"{g} {kind_of(rows, g)}" for g in groups), schema])
     kinds = [(p.split()[0], types[p.split()[1]]) for p in whole.split(", ")]
-    dealt = rows.repartition(parts, group).sortWithinPartitions(group, *order).select(group, *columns)
+    dealt = rows.repartition(parts, *groups).sortWithinPartitions(*groups, *order).select(*groups, *columns)
     return dealt.mapInArrow(run, whole)
 
 
+def kind_of(rows: DataFrame, column: str) -> str:
+    return rows.schema[column].dataType.simpleString().replace("bigint", "long")
+
+
 def next_greater() -> tuple:
     """(idx, next): the position of the next strictly greater value, or -1."""
     stack: list[tuple[float, int]] = []
@@ -190,6 +197,58 @@ def lru(capacity: int) -> Callable:
     return start
 
 
+def lru_hits(rows: DataFrame, group: str, seq: str, key: str, capacity: int, cut: Column) -> DataFrame:
+    """(group, seq, key, hit) of each access to the group's least-recently-used cache; null keys are a key, null groups a group,
+    accesses of one ``seq`` come in any order.
+
+    What such a cache holds is the ``capacity`` keys accessed last, so caches add up. ``cut`` is a coarse non-decreasing form of
+    ``seq``: each slice is reduced to its ``capacity`` last keys first, these alone run through one task a group and give
+    what is held where each slice begins, and slices are then replayed apart from each other. No group, however large,
+    is replayed in one task.
+    """
+    sliced = rows.select(F.col(group), F.col(seq).alias("seq"), F.col(key).alias("key"), cut.alias("cut_"))
+    last = sliced.groupBy(group, "cut_", "key").agg(F.max("seq").alias("seq"))
+    late = F.row_number().over(Window.partitionBy(group, "cut_").orderBy(F.desc("seq")))
+    ends = last.withColumn("late_", late).where(F.col("late_") <= capacity)
+    held = scan(ends, group, ["cut_", "seq"], ["cut_", "key"], held_before(capacity), f"cut_ {kind_of(sliced, 'cut_')}, place_ long, key {kind_of(sliced, 'key')}")
+    replayed = sliced.withColumn("place_", F.lit(capacity).cast("long")).unionByName(held, allowMissingColumns=True)
+    schema = f"place_ long, seq {kind_of(sliced, 'seq')}, key {kind_of(sliced, 'key')}, hit boolean"
+    out = scan(replayed, [group, "cut_"], ["place_", "seq"], ["place_", "seq", "key"], replay(capacity), schema)
+    return out.where(F.col("place_") == capacity).select(group, "seq", "key", "hit")
+
+
+def held_before(capacity: int) -> Callable:
+    """(slice, place, key): what a cache holds, oldest first, before the first access of each slice."""
+
+    def start() -> tuple:
+        held: OrderedDict = OrderedDict()
+        at: list = []
+
+        def step(cut, key):
+            out = []
+            if at != [cut]:
+                out, at[:] = [(cut, i, k) for i, k in enumerate(held)], [cut]
+            held[key] = None
+            held.move_to_end(key)
+            if len(held) > capacity:
+                held.popitem(last=False)
+            return out
+
+        return step, lambda: []
+
+    return start
+
+
+def replay(capacity: int) -> Callable:
+    """As ``lru``, with the place of each access kept."""
+
+    def start() -> tuple:
+        step, end = lru(capacity)()
+        return lambda place, seq, key: [(place, *r) for r in step(seq, key)], end
+
+    return start
+
+
 class Segmented:
     """A cache of three segments with admission by frequency: new keys enter a small window; what falls out of it enters the
     probation segment if there is room or if it is asked for more often than the next victim; a hit on probation protects a key."""

@@ -98,26 +98,34 @@ def _accesses(spark, sf_dir, start):
     return sequence.scan(events(spark, sf_dir), "event_type", ["event_id"], ["event_id", "user_id"], start, "seq long, key long, hit boolean")
 
 
+#: Event ids in a slice of a cache's accesses.
+SLICE = 100_000
+
+
+def _hits(spark, sf_dir):
+    return sequence.lru_hits(events(spark, sf_dir), "event_type", "event_id", "user_id", 20, F.floor(F.col("event_id") / SLICE))
+
+
 _HITS = f"{A}, d as (select x.event_type, x.seq, x.key, x.prev, count(distinct y.key) as between_ from a x left join a y on x.prev is not null and y.event_type = x.event_type and y.seq > x.prev and y.seq < x.seq group by 1, 2, 3, 4), h as (select event_type, seq, key, prev is not null and between_ < 20 as hit from d)"
 
 
 @query(f"with {_HITS} select event_type, seq, key, hit from h")
 def lru_hits(spark, sf_dir):
     """A cache of 20 users for each event type; by stack distance in the SQL, by its state here."""
-    return _accesses(spark, sf_dir, sequence.lru(20))
+    return _hits(spark, sf_dir)
 
 
 @query(f"with {_HITS} select event_type, count(*) as accesses, round(avg(hit::int), 9) as hit_rate from h group by event_type")
 def cache_hit_rate(spark, sf_dir):
-    return _accesses(spark, sf_dir, sequence.lru(20)).groupBy("event_type").agg(F.count("*").alias("accesses"), F.round(F.avg(F.col("hit").cast("int")), 9).alias("hit_rate"))
+    return _hits(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("accesses"), F.round(F.avg(F.col("hit").cast("int")), 9).alias("hit_rate"))
 
 
 @query("with l as (select event_type, user_id as key, max(event_id) as seq from events group by 1, 2), r as (select *, row_number() over (partition by event_type order by seq desc) as place from l) select event_type, key, place from r where place <= 20")
 def lru_state(spark, sf_dir):
     """What each cache holds at the end, the most recent first."""
     last = events(spark, sf_dir).groupBy("event_type", F.col("user_id").alias("key")).agg(F.max("event_id").alias("seq"))
-    place = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("seq"))).cast("long")
-    return last.withColumn("place", place).where("place <= 20").select("event_type", "key", "place")
+    place = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("seq")))
+    return last.withColumn("place", place).where("place <= 20").select("event_type", "key", F.col("place").cast("long").alias("place"))
 
 
 @query()

@@ -160,6 +160,20 @@ def test_sketches(spark):
     assert sketch.hll_estimate(sketch.hll_registers(items.limit(0), "x")).first()["estimate"] == 0
 
 
+def test_lru_by_slices(spark):
+    rng = random.Random(5)
+    access = [(rng.choice(["a", "b", None]), i, rng.choice([None, *range(9)])) for i in range(400)] + [("once", 5000, 1)]
+    rows = spark.createDataFrame(access, "g string, seq long, k long")
+    for capacity, width in ((1, 7), (3, 1), (4, 50), (6, 13), (20, 3), (4, 10_000)):
+        want = []
+        for g in {a[0] for a in access}:
+            step, _ = sequence.lru(capacity)()
+            want += [(g, *step(seq, k)[0]) for x, seq, k in access if x == g]
+        got = sequence.lru_hits(rows, "g", "seq", "k", capacity, F.floor(F.col("seq") / width))
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr), (capacity, width)
+    assert sequence.lru_hits(rows.limit(0), "g", "seq", "k", 3, F.floor(F.col("seq") / 2)).count() == 0
+
+
 def run_scan(spark, values, start, schema):
     rows = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)], "g string, i int, v double")
     return sequence.scan(rows, "g", ["i"], ["v"], start, schema).collect()
