@@ -7,7 +7,7 @@ caches are replayed slice by slice.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, bisect_right
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
@@ -151,15 +151,19 @@ def largest_rectangle() -> tuple:
 
 
 def inversions() -> tuple:
-    """(n): pairs in which the earlier value is strictly greater. Values are held sorted."""
-    seen: list[float] = []
+    """(n): pairs in which the earlier value is strictly greater. Values are held in sorted runs, each longer than the next, so a
+    value costs the square of the logarithm of those before it."""
+    runs: list[list[float]] = []
     total = 0
 
     def step(v):
         nonlocal total
         if v is not None:
-            total += len(seen) - bisect_right(seen, v)
-            insort(seen, v)
+            total += sum(len(run) - bisect_right(run, v) for run in runs)
+            last = [v]
+            while runs and len(runs[-1]) <= len(last):
+                last = sorted(runs.pop() + last)
+            runs.append(last)
         return []
 
     return step, lambda: [(total,)]
