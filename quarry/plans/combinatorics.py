@@ -56,6 +56,15 @@ BOARDS = [
 ]
 
 
-@query()
+_TOP = "(spot - 1) // 27 * 27 + (spot - 1) % 9 // 3 * 3"
+
+
+@query(f"""with recursive b as (select unnest({BOARDS!r}) as board),
+    ok as (select board from b where not exists (select 1 from range(81) x(i), range(81) y(j) where i < j and board[i + 1] <> '.' and board[i + 1] = board[j + 1] and (i // 9 = j // 9 or i % 9 = j % 9 or (i // 27 = j // 27 and i % 9 // 3 = j % 9 // 3)))),
+    r(board, s, spot) as (select board, board, strpos(board, '.') from ok
+        union all select board, n, strpos(n, '.') from (select board, substr(s, 1, spot - 1) || d || substr(s, spot + 1) as n from r, (select unnest(range(1, 10))::varchar as d)
+            where spot > 0 and not contains(substr(s, (spot - 1) // 9 * 9 + 1, 9), d) and not contains(substr(s, {_TOP} + 1, 3) || substr(s, {_TOP} + 10, 3) || substr(s, {_TOP} + 19, 3), d)
+            and len(list_filter(range(9), lambda i: s[(spot - 1) % 9 + 9 * i + 1] = d)) = 0))
+    select b.board, min(s) as solution from b left join r on r.board = b.board and spot = 0 group by b.board""")
 def sudoku(spark, sf_dir):
     return combinat.sudoku(spark.createDataFrame([(b,) for b in BOARDS], "board string"))
