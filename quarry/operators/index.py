@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -28,11 +29,16 @@ def postings(docs: DataFrame, analyzer: str = "main", **columns) -> DataFrame:
     All tokens of a document are in one place already, so nothing is shuffled: tokens are made in the JVM, and a batch of documents
     is sorted by document and term in one stroke. Write the result sorted by term, or bucketed, to serve lookups.
     """
+    return posting_rows(analyzed(docs, analyzer, **columns)).drop("dl")
+
+
+def posting_rows(docs: DataFrame, marks: bool = False) -> DataFrame:
+    """``postings`` of analyzed documents, with ``dl``, the tokens of the document; ``marks`` adds a row of the empty term for each."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return analyzed(docs, analyzer, **columns).mapInArrow(_posting_rows, "term string, doc_id long, tf long, positions array<int>")
+    return docs.mapInArrow(partial(_posting_rows, marks=marks), "term string, doc_id long, tf long, dl int, positions array<int>")
 
 
-def _posting_rows(batches: Iterator) -> Iterator:
+def _posting_rows(batches: Iterator, marks: bool = False) -> Iterator:
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -48,7 +54,12 @@ def _posting_rows(batches: Iterator) -> Iterator:
         first = np.flatnonzero(np.r_[len(doc) > 0, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])]) if len(doc) else np.zeros(0, dtype=np.int64)
         ends = np.append(first, len(doc)).astype(np.int32)
         positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(pos.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[first])).cast(pa.string()), ids.take(pa.array(doc[first])).cast(pa.int64()), pa.array(np.diff(ends).astype(np.int64)), positions], ["term", "doc_id", "tf", "positions"])
+        names = ["term", "doc_id", "tf", "dl", "positions"]
+        if marks:
+            n = len(lengths)
+            none = pa.array([[]] * n, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([""] * n), ids.cast(pa.int64()), pa.array(np.zeros(n, dtype=np.int64)), pa.array(lengths.astype(np.int32)), none], names)
+        yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[first])).cast(pa.string()), ids.take(pa.array(doc[first])).cast(pa.int64()), pa.array(np.diff(ends).astype(np.int64)), pa.array(lengths[doc[first]].astype(np.int32)), positions], names)
 
 
 def latest(docs: DataFrame, version: str, key: str = "doc_id") -> DataFrame:

@@ -1,8 +1,8 @@
 """Boolean, phrase, BM25 and TF-IDF queries.
 
-A query names a handful of terms. So nothing is exploded and no text is shuffled: one pass over the corpus writes, for each
-document that matches, its length and the positions of the query's terms, and observes the corpus figures meanwhile. Scores
-are then column expressions over that small table.
+A query names a handful of terms. Over a table of documents nothing is exploded and no text is shuffled: one pass writes, for
+each document that matches, its length and the positions of the query's terms, and observes the corpus figures meanwhile. A stored
+index gives the same small table from the postings of the terms alone. Scores are then column expressions over that table.
 """
 
 from __future__ import annotations
@@ -118,6 +118,11 @@ class TermQuery:
         return F.size(run)
 
 
+def ask(source, terms: list[str], analyzer: str = "main") -> TermQuery:
+    """``source`` is a table of documents, read whole, or a stored index, which looks the terms up."""
+    return TermQuery(source, terms, analyzer) if isinstance(source, DataFrame) else source.ask(terms, analyzer)
+
+
 def _less(i: int):
     return lambda p: p - i
 
@@ -144,37 +149,37 @@ def _scored(rows: DataFrame, score: Column, **more: Column) -> DataFrame:
     return rows.select("doc_id", F.round(score, 6).alias("score"), *[c.alias(n) for n, c in more.items()])
 
 
-def bool_and(docs: DataFrame, terms: list[str]) -> DataFrame:
+def bool_and(source, terms: list[str]) -> DataFrame:
     """(doc_id, score, proximity_bonus): all terms or nothing; BM25 and proximity of terms from the rarest on."""
-    q = TermQuery(docs, terms)
+    q = ask(source, terms)
     near = q.proximity(q.rarest_first())
     return _scored(q.all_of(), q.bm25() + near, proximity_bonus=F.round(near, 6))
 
 
-def bool_and_lenient(docs: DataFrame, terms: list[str]) -> DataFrame:
+def bool_and_lenient(source, terms: list[str]) -> DataFrame:
     """(doc_id, score): terms that no document has are ignored; TF-IDF over the analyzer that deletes punctuation."""
-    q = TermQuery(docs, terms, "strip")
+    q = ask(source, terms, "strip")
     return _scored(q.all_of(lenient=True), q.tfidf())
 
 
-def bool_or(docs: DataFrame, terms: list[str]) -> DataFrame:
+def bool_or(source, terms: list[str]) -> DataFrame:
     """(doc_id, score, proximity_bonus, matched_terms)."""
-    q = TermQuery(docs, terms)
+    q = ask(source, terms)
     near = q.proximity(q.distinct)
     return _scored(q.any_of(), q.bm25() + near, proximity_bonus=F.round(near, 6), matched_terms=F.array_join(q.matched(), ","))
 
 
-def phrase(docs: DataFrame, terms: list[str]) -> DataFrame:
+def phrase(source, terms: list[str]) -> DataFrame:
     """(doc_id, score, n_phrases, phrase_match): terms side by side; twice the score of the conjunction."""
-    q = TermQuery(docs, terms)
+    q = ask(source, terms)
     near = q.proximity(q.rarest_first())
     rows = q.all_of().withColumn("n_phrases", q.phrase()).where("n_phrases > 0")
     return _scored(rows, 2 * (q.bm25() + near), n_phrases=F.col("n_phrases").cast("long"), phrase_match=F.lit(True))
 
 
-def and_or_fallback(docs: DataFrame, terms: list[str]) -> DataFrame:
+def and_or_fallback(source, terms: list[str]) -> DataFrame:
     """(doc_id, score, mode): the conjunction; where it is empty, the disjunction. No action decides, the plan does."""
-    q = TermQuery(docs, terms)
+    q = ask(source, terms)
     everything, some = q.all_of(), q.any_of()
     both = q.bm25() + q.proximity(q.rarest_first())
     first = everything.select("doc_id", F.round(both, 6).alias("score"), F.lit("and").alias("mode"))

@@ -6,25 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import is_phrase, query_terms
-from quarry.operators import graph, lexical, ranking, vector
+from quarry.operators import graph, lexical, ranking, stored, vector
 from quarry.plans.base import query
 from quarry.plans.graphs import _ranks, links, vertices
-from quarry.plans.lexical import query_cte
+from quarry.plans.lexical import indexed, query_cte
 from quarry.plans.vectors import similarity_cte
+from quarry.session import once
 from quarry.sources.tables import table
 
 QUERY = "tion rewh"
 TITLE = "(?s)<title>(.*?)</title>"
 
 
-def lexical_rows(docs: DataFrame, text: str) -> DataFrame:
+def authorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, rank) of all pages: computed by the first query of a session that needs it, and again when ``pages`` has changed."""
+
+    def make(path: str) -> None:
+        ranks, _ = graph.pagerank(vertices(spark, sf_dir), links(spark, sf_dir))
+        ranks.select("id", "rank").write.parquet(path)
+
+    return spark.read.schema("id long, rank double").parquet(once(table(spark, sf_dir, "pages"), "pagerank", make))
+
+
+def lexical_rows(index: stored.StoredIndex, text: str) -> DataFrame:
     """(doc_id, score): phrases for quoted queries; else all terms or, where no document has them all, any."""
     terms = query_terms(text)
     if not terms:
-        return docs.sparkSession.createDataFrame([], "doc_id long, score double")
+        return index.postings.sparkSession.createDataFrame([], "doc_id long, score double")
     if is_phrase(text):
-        return lexical.phrase(docs, terms).select("doc_id", "score")
-    return lexical.and_or_fallback(docs, terms).select("doc_id", "score")
+        return lexical.phrase(index, terms).select("doc_id", "score")
+    return lexical.and_or_fallback(index, terms).select("doc_id", "score")
 
 
 def search(spark: SparkSession, sf_dir: str, text: str, k: int = 20, candidates: int = 50) -> DataFrame:
@@ -33,11 +44,11 @@ def search(spark: SparkSession, sf_dir: str, text: str, k: int = 20, candidates:
     The lexical list is ranked whole, in slices of its scores; the vector list has ``candidates`` entries.
     """
     docs = table(spark, sf_dir, "documents")
-    lex = ranking.ranked_all(lexical_rows(docs, text), "score", "doc_id")
+    lex = ranking.ranked_all(lexical_rows(indexed(spark, sf_dir), text), "score", "doc_id")
     sem = vector.text_similarity(docs, text).select("doc_id", F.round("similarity", 6).alias("score"))
     sem = ranking.ranked(sem, "score", "doc_id", candidates)
     fused = ranking.reciprocal_ranks(lex, sem, "doc_id")
-    ranks, _ = graph.pagerank(vertices(spark, sf_dir), links(spark, sf_dir))
+    ranks = authorities(spark, sf_dir)
     title = F.regexp_extract("html", TITLE, 1)
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.when(title != "", title).alias("title"), "url")
     rows = fused.join(lex.select("doc_id", F.col("score").alias("bm25_score")), "doc_id", "left").join(sem.select("doc_id", F.col("score").alias("semantic_score")), "doc_id", "left")
@@ -67,7 +78,7 @@ _LEX = f"""{query_cte(_TERMS, by_df=True)}, lex0 as (select doc_id, round(bm25 +
 @query(f"with {_LEX} select doc_id, rank_a, rank_b, round(rrf, 9) as rrf from fused")
 def rrf_fusion(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    lex = ranking.ranked_all(lexical_rows(docs, QUERY), "score", "doc_id")
+    lex = ranking.ranked_all(lexical_rows(indexed(spark, sf_dir), QUERY), "score", "doc_id")
     sem = ranking.ranked(vector.text_similarity(docs, QUERY).select("doc_id", F.round("similarity", 6).alias("score")), "score", "doc_id", 50)
     return ranking.reciprocal_ranks(lex, sem, "doc_id").withColumn("rrf", F.round("rrf", 9))
 
@@ -83,8 +94,8 @@ def hybrid_search(spark, sf_dir):
     select doc_id, bm25, round(coalesce(rank, 0), 9) as page_rank, round(bm25 + 10 * coalesce(rank, 0), 6) as score from best left join ranks on id = doc_id""")
 def bm25_pagerank(spark, sf_dir):
     """Cut to the best by BM25 before ranks are added, and not sorted again."""
-    q = lexical.TermQuery(table(spark, sf_dir, "documents"), _TERMS, "nostop")
+    q = indexed(spark, sf_dir, "nostop").ask(_TERMS, "nostop")
     best = q.any_of().select("doc_id", F.round(q.bm25(), 6).alias("bm25")).orderBy(F.desc("bm25"), "doc_id").limit(20)
-    ranks, _ = graph.pagerank(vertices(spark, sf_dir), links(spark, sf_dir))
+    ranks = authorities(spark, sf_dir)
     authority = F.coalesce("rank", F.lit(0.0))
     return best.join(ranks.select(F.col("id").alias("doc_id"), "rank"), "doc_id", "left").select("doc_id", "bm25", F.round(authority, 9).alias("page_rank"), F.round(F.col("bm25") + 10 * authority, 6).alias("score"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens_sql, vbyte_length_sql
-from quarry.operators import index, lexical
+from quarry.operators import index, lexical, stored
 from quarry.plans.base import query
+from quarry.session import once, shared_dir
 from quarry.sources.tables import table
 
 #: Terms of the example queries.
@@ -17,6 +20,13 @@ def docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def indexed(spark, sf_dir, analyzer: str = "main") -> stored.StoredIndex:
+    """The stored index of ``documents``, built by the first query of a session that needs it and again when the table has changed."""
+    documents = docs(spark, sf_dir)
+    where = once(documents, f"index-{analyzer}", lambda path: stored.build(documents, path, analyzer))
+    return stored.StoredIndex(spark, where)
+
+
 def tokens_cte(analyzer: str = "main") -> str:
     return f"""t as materialized (select doc_id, {tokens_sql("text", analyzer)} as ts from documents),
     tok as materialized (select doc_id, unnest(ts) as term, generate_subscripts(ts, 1) - 1 as pos from t),
@@ -40,6 +50,13 @@ def query_cte(terms: list[str], analyzer: str = "main", by_df: bool = False) ->
         from q join tf using (term) join df using (term) join t using (doc_id) cross join st group by tf.doc_id)"""
 
 
+@query(f"with {tokens_cte()} select (select count(*) from t) as n_docs, sum(tf)::bigint as n_tokens, count(*) as n_postings, count(distinct term) as n_terms from tf")
+def index_build(spark, sf_dir):
+    """Writes a stored index, whatever is stored already, and counts what is in it."""
+    built = stored.build(docs(spark, sf_dir), f"{shared_dir(spark)}/settled/index-{uuid.uuid4().hex}")
+    return built.postings.where(F.col("term") != stored.MARK).agg(F.lit(built.n).cast("long").alias("n_docs"), F.sum("tf").alias("n_tokens"), F.count("*").alias("n_postings"), F.count_distinct("term").alias("n_terms"))
+
+
 @query(f"with {tokens_cte()} select term, doc_id, tf, array_to_string(positions, ',') as positions from tf")
 def inverted_index(spark, sf_dir):
     p = index.postings(docs(spark, sf_dir))
@@ -63,14 +80,14 @@ def vocabulary(spark, sf_dir):
 
 @query(f"with {tokens_cte()} select doc_id, tf from tf where term = lower('Tion')")
 def posting_list(spark, sf_dir):
-    q = lexical.TermQuery(docs(spark, sf_dir), ["Tion"])
+    q = indexed(spark, sf_dir).ask(["Tion"])
     return q.any_of().select("doc_id", q.tf("tion").cast("long").alias("tf"))
 
 
 @query(f"""with {tokens_cte()} select doc_id, tf, coalesce(nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), ''), 'Unknown') as title
     from tf left join pages on page_id = doc_id where term = 'tion'""")
 def posting_list_titles(spark, sf_dir):
-    q = lexical.TermQuery(docs(spark, sf_dir), ["tion"])
+    q = indexed(spark, sf_dir).ask(["tion"])
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
     titles = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.when(title != "", title).alias("title"))
     return q.any_of().select("doc_id", q.tf("tion").cast("long").alias("tf")).join(titles, "doc_id", "left").select("doc_id", "tf", F.coalesce("title", F.lit("Unknown")).alias("title"))
@@ -78,44 +95,44 @@ def posting_list_titles(spark, sf_dir):
 
 @query(f"with {query_cte(THREE, by_df=True)} select doc_id, round(bm25 + coalesce(p, 0), 6) as score, round(coalesce(p, 0), 6) as proximity_bonus from bm left join prox using (doc_id) where n_terms = 3")
 def bool_and(spark, sf_dir):
-    return lexical.bool_and(docs(spark, sf_dir), THREE)
+    return lexical.bool_and(indexed(spark, sf_dir), THREE)
 
 
 @query(f"with {query_cte(MISSING, 'strip')} select doc_id, round(tfidf, 6) as score from bm where n_terms = (select count(distinct term) from q join df using (term))")
 def bool_and_lenient(spark, sf_dir):
-    return lexical.bool_and_lenient(docs(spark, sf_dir), MISSING)
+    return lexical.bool_and_lenient(indexed(spark, sf_dir, "strip"), MISSING)
 
 
 @query(f"with {tokens_cte('alnum')} select doc_id from tf where term = '{TWO[0]}' intersect select doc_id from tf where term = '{TWO[1]}'")
 def bool_and_ids(spark, sf_dir):
-    return lexical.TermQuery(docs(spark, sf_dir), TWO, "alnum").all_of().select("doc_id")
+    return indexed(spark, sf_dir, "alnum").ask(TWO, "alnum").all_of().select("doc_id")
 
 
 @query(f"with {query_cte(THREE)} select doc_id, round(bm25 + coalesce(p, 0), 6) as score, round(coalesce(p, 0), 6) as proximity_bonus, array_to_string(terms, ',') as matched_terms from bm left join prox using (doc_id)")
 def bool_or(spark, sf_dir):
-    return lexical.bool_or(docs(spark, sf_dir), THREE)
+    return lexical.bool_or(indexed(spark, sf_dir), THREE)
 
 
 @query(f"with {query_cte(['tion', 'rewh', 'tion'], 'strip')} select doc_id, tfs::bigint as score, array_to_string(list_sort(list_distinct(terms)), ',') as matched_terms from bm")
 def bool_or_tf(spark, sf_dir):
-    q = lexical.TermQuery(docs(spark, sf_dir), ["tion", "rewh", "tion"], "strip")
+    q = indexed(spark, sf_dir, "strip").ask(["tion", "rewh", "tion"], "strip")
     return q.any_of().select("doc_id", q.tf_sum().cast("long").alias("score"), F.array_join(F.array_sort(q.matched()), ",").alias("matched_terms"))
 
 
 @query(f"with {tokens_cte('strip')} select doc_id, 1::double as score from documents where doc_id not in (select doc_id from tf where term = 'tion')")
 def bool_not(spark, sf_dir):
-    return lexical.none_of(docs(spark, sf_dir), ["tion"], "strip").select("doc_id", F.lit(1.0).alias("score"))
+    return indexed(spark, sf_dir, "strip").none_of(["tion"]).select("doc_id", F.lit(1.0).alias("score"))
 
 
 @query(f"""with {query_cte(PHRASE, by_df=True)}, ph as (select a.doc_id, count(*) as n_phrases from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.term = '{PHRASE[0]}' and b.term = '{PHRASE[1]}' group by 1)
     select doc_id, round(2 * (bm25 + coalesce(p, 0)), 6) as score, n_phrases, true as phrase_match from bm join ph using (doc_id) left join prox using (doc_id) where n_terms = 2""")
 def phrase_query(spark, sf_dir):
-    return lexical.phrase(docs(spark, sf_dir), PHRASE)
+    return lexical.phrase(indexed(spark, sf_dir), PHRASE)
 
 
 @query(f"with {query_cte(MISSING)} select doc_id, round(bm25 + coalesce(p, 0), 6) as score, case when n_terms = 2 then 'and' else 'or' end as mode from bm left join prox using (doc_id) where n_terms = 2 or not exists (select 1 from bm where n_terms = 2)")
 def bool_and_or_fallback(spark, sf_dir):
-    return lexical.and_or_fallback(docs(spark, sf_dir), MISSING)
+    return lexical.and_or_fallback(indexed(spark, sf_dir), MISSING)
 
 
 def _top(q, score, k=10):
@@ -124,31 +141,31 @@ def _top(q, score, k=10):
 
 @query(f"with {query_cte(THREE)} select doc_id, round(bm25, 6) as score from bm order by score desc, doc_id limit 10")
 def bm25_topk(spark, sf_dir):
-    q = lexical.TermQuery(docs(spark, sf_dir), THREE)
+    q = indexed(spark, sf_dir).ask(THREE)
     return _top(q, q.bm25())
 
 
 @query(f"with {query_cte(THREE, 'nostop')} select doc_id, round(bm25, 6) as score from bm order by score desc, doc_id limit 10")
 def bm25_nostop(spark, sf_dir):
-    q = lexical.TermQuery(docs(spark, sf_dir), THREE, "nostop")
+    q = indexed(spark, sf_dir, "nostop").ask(THREE, "nostop")
     return _top(q, q.bm25())
 
 
 @query(f"with {query_cte(THREE, 'strip')} select doc_id, round(tfidf, 6) as score from bm")
 def tfidf_raw(spark, sf_dir):
-    q = lexical.TermQuery(docs(spark, sf_dir), THREE, "strip")
+    q = indexed(spark, sf_dir, "strip").ask(THREE, "strip")
     return q.any_of().select("doc_id", F.round(q.tfidf(), 6).alias("score"))
 
 
 @query(f"with {query_cte(THREE, 'alnum')} select doc_id, round(tfidf_log, 6) as score from bm order by score desc, doc_id limit 10")
 def tfidf_log(spark, sf_dir):
-    q = lexical.TermQuery(docs(spark, sf_dir), THREE, "alnum")
+    q = indexed(spark, sf_dir, "alnum").ask(THREE, "alnum")
     return _top(q, q.tfidf(log_tf=True))
 
 
 @query(f"with {query_cte(THREE)} select doc_id, round(p, 6) as bonus from prox")
 def proximity_bonus(spark, sf_dir):
-    q = lexical.TermQuery(docs(spark, sf_dir), THREE)
+    q = indexed(spark, sf_dir).ask(THREE)
     return q.any_of().select("doc_id", F.round(q.proximity(q.distinct), 6).alias("bonus")).where("bonus > 0")
 
 

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: What ``once`` has written: the state of its source, by application, name and source.
+_MADE: dict[tuple, tuple[str, str]] = {}
 
 
 def local_session(app: str = "quarry", cores: str | int | None = None, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -58,3 +62,27 @@ def discard(df: DataFrame | None) -> None:
     if path:
         at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _state(source: DataFrame) -> tuple[str, str]:
+    """Where a table of files lies, and a digest of the names, sizes and times of its files."""
+    spark, files = source.sparkSession, sorted(source.inputFiles())
+    conf, digest = spark._jsc.hadoopConfiguration(), hashlib.sha256()
+    for folder in sorted({f.rpartition("/")[0] for f in files}):
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        for s in at.getFileSystem(conf).listStatus(at):
+            digest.update(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}\n".encode())
+    return "\n".join(files), digest.hexdigest()
+
+
+def once(source: DataFrame, name: str, make: Callable[[str], object]) -> str:
+    """The path of what ``make(path)`` wrote for ``source``, a table of files: made at the first call of an application, and again when a
+    file in the folders of the table has changed. Nothing is kept but files in the shared folder."""
+    spark = source.sparkSession
+    files, state = _state(source)
+    key = spark.sparkContext.applicationId, name, files
+    if _MADE.get(key, ("", ""))[0] != state:
+        path = f"{shared_dir(spark)}/settled/{name}-{uuid.uuid4().hex}"
+        make(path)
+        _MADE[key] = state, path
+    return _MADE[key][1]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import combinat, graph, index, lexical, sequence, sketch, strings, vector, words
+from quarry.operators import combinat, graph, index, lexical, sequence, sketch, stored, strings, vector, words
 from quarry.sources import kvlog, tables
 from quarry.streaming import crawl, windows
 
@@ -35,6 +35,48 @@ def test_lexical_nulls_and_empty(spark):
     assert index.corpus_stats(d.limit(0)).first()["avg_length"] == 0.0
 
 
+@pytest.mark.parametrize("analyzer", ["main", "strip"])
+def test_stored_index(spark, tmp_path, analyzer):
+    """Lookups give what a pass over the documents gives, for terms that are common, rare, repeated and absent."""
+    rng = random.Random(4)
+    d = docs(spark, *[" ".join(rng.choice(["alpha", "beta", "gamma", "the", f"w{i}"]) for _ in range(rng.randint(0, 12))) for i in range(200)], None, "", "alpha " * 3000)
+    at = stored.build(d, str(tmp_path / "index"), analyzer, buckets=5, spread=3)
+    again = stored.StoredIndex(spark, str(tmp_path / "index"))
+    plain = lexical.TermQuery(d, ["alpha"], analyzer)
+    assert (at.n, at.total) == (again.n, again.total) == (plain.corpus.n, plain.corpus.total) and at.n == 203
+    for terms in (["alpha"], ["beta", "alpha", "beta"], ["w3", "gamma"], ["alpha", "none"], ["none"]):
+        a, b = lexical.TermQuery(d, terms, analyzer), again.ask(terms, analyzer)
+        assert a.corpus == b.corpus
+        both = [sorted(map(str, q.any_of().select("doc_id", "dl", *[q.pos(t).alias(t) for t in q.distinct], F.round(q.bm25(), 9).alias("s")).collect())) for q in (a, b)]
+        assert both[0] == both[1]
+    ids = [sorted(r["doc_id"] for r in rows.collect()) for rows in (again.none_of(["alpha", "w3"]), lexical.none_of(d, ["alpha", "w3"], analyzer))]
+    assert ids[0] == ids[1] and len(ids[0]) > 1
+    with pytest.raises(ValueError, match="analyzer"):
+        at.ask(["alpha"], "alnum")
+    nothing = stored.build(d.limit(0), str(tmp_path / "none"), analyzer)
+    assert nothing.n == 0 and nothing.ask(["alpha"], analyzer).any_of().count() == 0
+
+
+def test_stored_lookup_reads_its_terms(spark, tmp_path):
+    at = stored.build(docs(spark, *["alpha beta gamma delta"] * 50), str(tmp_path / "index"))
+    plan = at.lookup(["alpha"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,alpha)" in plan
+    assert len(at.lookup(["alpha"]).inputFiles()) > 0 and at.lookup(["alpha"]).count() == 50
+
+
+def test_once(spark, tmp_path):
+    """Made once for a table, and again when its files change."""
+    from quarry.session import once
+
+    made = []
+    path = str(tmp_path / "t")
+    source = lambda: spark.read.parquet(path)
+    docs(spark, "a").write.parquet(path)
+    assert once(source(), "x", made.append) == once(source(), "x", made.append) == made[0] and len(made) == 1
+    docs(spark, "b").write.mode("append").parquet(path)
+    assert once(source(), "x", made.append) != made[0] and len(made) == 2
+
+
 def test_upsert(spark):
     v = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (2, "x", 1)], "doc_id long, text string, version int")
     assert {(r["doc_id"], r["text"]) for r in index.latest(v, "version").collect()} == {(1, "new"), (2, "x")}
