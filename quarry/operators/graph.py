@@ -10,10 +10,10 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import discard, settle
+from quarry.session import discard, settle, shared_dir
 
 
 @contextmanager
@@ -36,6 +36,26 @@ def _settled(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
     return out, seen.get
 
 
+class _Gathered:
+    """What the rounds of a loop find for good: a folder a round, read together as one table however many rounds there were."""
+
+    def __init__(self, spark: SparkSession, schema) -> None:
+        self.spark, self.schema, self.rounds = spark, schema, 0
+        self.path = f"{shared_dir(spark)}/settled/gathered-{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """Writes what a round found; its table and its number of rows."""
+        at, seen = f"{self.path}/round={self.rounds}", Observation()
+        df.observe(seen, F.count("*").alias("n")).write.parquet(at)
+        self.rounds += 1
+        return self.spark.read.schema(self.schema).parquet(at), seen.get["n"]
+
+    def all(self) -> DataFrame:
+        if not self.rounds:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/round=*")
+
+
 class _Rounds:
     """The state of a loop: each round is written, and then the round before is deleted."""
 
@@ -186,30 +206,26 @@ def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     worked on at once, and what is left goes round again.
     """
     left, links = settle(vertices.select("id")), settle(edges.where("src <> dst").select("src", "dst").distinct())
-    found = []
+    found, lefts, rests = _Gathered(vertices.sparkSession, "id long, root long"), _Rounds(), _Rounds()
     while True:
         while True:  # trim
             ends = links.select(F.col("src").alias("id")).distinct().join(links.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
-            single = settle(left.join(ends, "id", "left_anti"))
-            n = single.count()
+            single, n = found.add(left.join(ends, "id", "left_anti").select("id", F.col("id").alias("root")))
             if not n:
                 break
-            found.append(single.select("id", F.col("id").alias("root")))
-            left = settle(left.join(single, "id", "left_anti"))
-            links = settle(induced(links, left))
+            left, _ = lefts.step(left.join(single, "id", "left_anti"), n=F.count("*"))
+            links, _ = rests.step(induced(links, left), n=F.count("*"))
         if not left.take(1):
             break
         colour = _spread(links, left.select("id", F.col("id").alias("label")))
         own = links.join(colour.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
         back = settle(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         mark = _spread(back, colour.select("id", F.when(F.col("id") == F.col("label"), F.col("id")).otherwise(F.lit(-1)).alias("label")))
-        done = settle(mark.where("label >= 0").select("id", F.col("label").alias("root")))
-        found.append(done)
-        left = settle(left.join(done, "id", "left_anti"))
-        links = settle(induced(links, left))
-    out = found[0] if found else vertices.select("id", F.col("id").alias("root"))
-    for more in found[1:]:
-        out = out.unionByName(more)
+        done, _ = found.add(mark.where("label >= 0").select("id", F.col("label").alias("root")))
+        discard(back)
+        left, _ = lefts.step(left.join(done, "id", "left_anti"), n=F.count("*"))
+        links, _ = rests.step(induced(links, left), n=F.count("*"))
+    out = found.all()
     names = out.groupBy("root").agg(F.min("id").alias("component"))
     return out.join(names, "root").select("id", "component")
 
@@ -240,19 +256,14 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def topological_levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): the layer in which a vertex loses its last incoming edge; null on a cycle or behind one."""
-    left, links, found, level = settle(vertices.select("id")), settle(edges.select("src", "dst").distinct()), [], 0
+    left, links = settle(vertices.select("id")), settle(edges.select("src", "dst").distinct())
+    found, lefts, rests = _Gathered(vertices.sparkSession, f"id {vertices.schema['id'].dataType.simpleString()}, level long"), _Rounds(), _Rounds()
     while True:
-        free, seen = _settled(left.join(links.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(level).cast("long").alias("level")), n=F.count("*"))
-        if not seen["n"]:
-            break
-        found.append(free)
-        left = settle(left.join(free, "id", "left_anti"))
-        links = settle(links.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
-        level += 1
-    out = left.select("id", F.lit(None).cast("long").alias("level"))
-    for f in found:
-        out = out.unionByName(f)
-    return out
+        free, n = found.add(left.join(links.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(found.rounds).cast("long").alias("level")))
+        if not n:
+            return found.all().unionByName(left.select("id", F.lit(None).cast("long").alias("level")))
+        left, _ = lefts.step(left.join(free, "id", "left_anti"), n=F.count("*"))
+        links, _ = rests.step(links.join(free.select(F.col("id").alias("src")), "src", "left_anti"), n=F.count("*"))
 
 
 def longest_paths(edges: DataFrame, weights: DataFrame, source: int) -> DataFrame:
@@ -275,21 +286,16 @@ def spanning_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     Each round every part takes its least outgoing edge and parts merge: at most log2(vertices) rounds.
     """
     e = settle(edges.where("src <> dst").groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.min("weight").alias("weight")))
-    state, chosen = settle(vertices.select("id", F.col("id").alias("component"))), []
+    state, chosen = settle(vertices.select("id", F.col("id").alias("component"))), _Gathered(vertices.sparkSession, e.select("u", "v", "weight").schema)
     while True:
         a, b = state.select(F.col("id").alias("u"), F.col("component").alias("cu")), state.select(F.col("id").alias("v"), F.col("component").alias("cv"))
         e = settle(e.join(a, "u").join(b, "v").where("cu <> cv"))
         whole = F.struct("weight", "u", "v")
         least = e.select(F.col("cu").alias("c"), whole.alias("e")).union(e.select(F.col("cv"), whole)).groupBy("c").agg(F.min("e").alias("e"))
-        picked, seen = _settled(least.select("e.*").distinct(), n=F.count("*"))
-        if not seen["n"]:
-            break
-        chosen.append(picked)
+        picked, n = chosen.add(least.select("e.*").select("u", "v", "weight").distinct())
+        if not n:
+            return chosen.all()
         merged = e.join(picked.select("u", "v"), ["u", "v"], "left_semi").select(F.col("cu").alias("src"), F.col("cv").alias("dst"))
         names = components(state.select(F.col("component").alias("id")).distinct(), merged)
         state = settle(state.join(names.select(F.col("id").alias("component"), F.col("component").alias("name")), "component").select("id", F.col("name").alias("component")))
         e = e.select("u", "v", "weight")
-    out = e.select("u", "v", "weight").where("false")
-    for c in chosen:
-        out = out.unionByName(c.select("u", "v", "weight"))
-    return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 DIMENSIONS = 64
 #: a-z and 0-9 as they are, a space for everything else.
 _PLAIN = np.array([c if chr(c).isdigit() or 97 <= c <= 122 else 32 for c in range(128)], dtype=np.uint8)
-#: Query vectors that are sent to every task at a time.
+#: Query vectors that are sent to every task; more are dealt.
 BLOCK = 1024
 
 
@@ -88,48 +88,89 @@ def _matrix(vectors: list) -> np.ndarray:
     return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+Top = tuple[np.ndarray, np.ndarray]
+
+
+def _nearer(top: Top | None, ids: np.ndarray, x: np.ndarray, batch, k: int) -> Top:
+    """The ``k`` best (similarities, names) of each query among those of ``top`` and the rows of a batch (vec_id, embedding)."""
+    name = np.array(batch.column(0).to_pylist())
+    sims = np.round(x @ _matrix(batch.column(1).to_pylist()).T, 6)
+    sims[ids[:, None] == name[None, :]] = -9
+    names = np.broadcast_to(name, sims.shape)
+    if top is not None:
+        sims, names = np.concatenate([top[0], sims], axis=1), np.concatenate([top[1], names], axis=1)
+    order = np.lexsort((names, -sims), axis=1)[:, :k]
+    return np.take_along_axis(sims, order, 1), np.take_along_axis(names, order, 1)
+
+
+def _nearest_columns(ids: np.ndarray, top: Top) -> list:
+    import pyarrow as pa
+
+    ok = (top[0] > -9).ravel()
+    return [pa.array(np.repeat(ids, top[0].shape[1])[ok]), pa.array(top[1].ravel()[ok]), pa.array(top[0].ravel()[ok])]
+
+
+_NEAR = "query_id long, vec_id long, similarity double"
+
+
+def _nearest_of_few(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """At most ``BLOCK`` queries go to every task, and the rows stay where they are."""
+    own = asked.collect()
+    sent = rows.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in own]), _matrix([r["embedding"] for r in own])))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        (ids, x), top = sent.value, None
+        for batch in batches:
+            top = _nearer(top, ids, x, batch, k) if batch.num_rows else top
+        if top is not None:
+            yield pa.RecordBatch.from_arrays(_nearest_columns(ids, top), ["query_id", "vec_id", "similarity"])
+
+    return rows.mapInArrow(run, _NEAR)
+
+
+def _nearest_in_tiles(rows: DataFrame, asked: DataFrame, k: int, blocks: int, slices: int, step: int = 4096) -> DataFrame:
+    """Queries in blocks by rows in slices: a task has one block and one slice, compares ``step`` rows at a time, and keeps ``k`` a query."""
+
+    def run(key, data, queries):
+        import pyarrow as pa
+
+        names = ["query_id", "vec_id", "similarity"]
+        ids, x = np.array(queries.column("vec_id").to_pylist(), dtype=np.int64), _matrix(queries.column("embedding").to_pylist())
+        data, top = data.select(["vec_id", "embedding"]), None
+        if len(ids):
+            for start in range(0, data.num_rows, step):
+                top = _nearer(top, ids, x, data.slice(start, step), k)
+        if top is None:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
+        return pa.table(_nearest_columns(ids, top), names)
+
+    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    data = rows.select("vec_id", "embedding", place(slices).alias("slice"), every(blocks).alias("block"))
+    queries = asked.select("vec_id", "embedding", place(blocks).alias("block"), every(slices).alias("slice"))
+    return data.groupBy("slice", "block").cogroup(queries.groupBy("slice", "block")).applyInArrow(run, _NEAR)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, asked_rows: int = 4096, slice_rows: int = 65536) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the ``k`` nearest of all rows of ``vectors(vec_id, embedding)`` to each of ``queries``,
-    itself not included. Null vectors are near nothing.
+    itself not included. Null vectors are near nothing. Ids are distinct in both.
 
-    Exact. Queries go out in blocks of a fixed size; every task keeps ``k`` rows for each of a block's queries, and only
-    those are shuffled.
+    Exact. Up to ``block`` queries are sent to every task. More are dealt in blocks of about ``asked_rows`` against slices of about
+    ``slice_rows`` vectors, a task for each two: nothing but counts reaches the driver, and a task holds one block and one slice at most.
+    Either way a task keeps ``k`` rows a query, and only those are ranked.
     """
-    spark = vectors.sparkSession
     rows = vectors.select("vec_id", "embedding").where("embedding is not null")
     asked = queries.select("vec_id", "embedding").where("embedding is not null")
-    blocks = max(1, -(-asked.count() // BLOCK))
-    best = None
-    for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        if not own:
-            continue
-        sent = spark.sparkContext.broadcast(([r["vec_id"] for r in own], _matrix([r["embedding"] for r in own])))
-
-        def run(batches: Iterator, sent=sent) -> Iterator:
-            import pyarrow as pa
-
-            ids, x = sent.value
-            top: tuple[np.ndarray, np.ndarray] | None = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                name = np.array(batch.column(0).to_pylist())
-                sims = np.round(x @ _matrix(batch.column(1).to_pylist()).T, 6)
-                sims[np.array(ids)[:, None] == name[None, :]] = -9
-                names = np.broadcast_to(name, sims.shape)
-                if top is not None:
-                    sims, names = np.concatenate([top[0], sims], axis=1), np.concatenate([top[1], names], axis=1)
-                order = np.lexsort((names, -sims), axis=1)[:, :k]
-                top = np.take_along_axis(sims, order, 1), np.take_along_axis(names, order, 1)
-            if top is not None:
-                ok = (top[0] > -9).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids), top[0].shape[1])[ok]), pa.array(top[1].ravel()[ok]), pa.array(top[0].ravel()[ok])], ["query_id", "vec_id", "similarity"])
-
-        part = rows.mapInArrow(run, "query_id long, vec_id long, similarity double")
-        best = part if best is None else best.union(part)
-    if best is None:
-        return spark.createDataFrame([], "query_id long, vec_id long, similarity double, rank long")
+    n = asked.count()
+    if not n:
+        return vectors.sparkSession.createDataFrame([], f"{_NEAR}, rank long")
+    if n <= block:
+        best = _nearest_of_few(rows, asked, k)
+    else:
+        slices = max(vectors.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // slice_rows))
+        best = _nearest_in_tiles(rows, asked, k, -(-n // asked_rows), slices)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 

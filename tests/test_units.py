@@ -123,6 +123,8 @@ def test_vectors(spark):
     sims = u[:20] @ u.T
     np.fill_diagonal(sims, -9)
     assert exact == {(i, int(j)) for i in range(20) for j in np.argsort(-sims[i])[:5]}
+    whole = sorted(map(tuple, vector.nearest(v, v, 4).collect()))
+    assert whole == sorted(map(tuple, vector.nearest(v, v, 4, block=10, asked_rows=70, slice_rows=20).collect())) and len(whole) == 1200
     near = {(r["query_id"], r["vec_id"]) for r in vector.nearest_lsh(v, q, 5, tables=24, bits=3).collect()}
     assert len(near & exact) >= 0.9 * len(exact)
     assert vector.nearest(v, v.limit(0)).count() == 0
