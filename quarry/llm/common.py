@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Characters of texts that an operator handles at a time: batches are cut there, as texts may be very long.
 BATCH_CHARS = 4_000_000
 
@@ -33,9 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it again: lineage ends there, so a lost executor costs a re-read."""
-    path = f"{shared_dir(df.sparkSession)}/quarry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Writes ``df`` as a table in the shared folder and reads it again: lineage ends there, so a lost executor costs a re-read.
+
+    The shuffle files of the write are removed when it ends, not when the driver collects garbage: nothing reads them any more.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before) if before is not None else spark.conf.unset(CLEAN_SHUFFLES)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quarry_path = path
     return out
