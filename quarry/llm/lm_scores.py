@@ -3,8 +3,8 @@
 Tokens are words and marks. All documents are counted, so every distinct token of the corpus has its own count. The network reads
 three tokens on each side (an embedding for each place and token, summed, tanh) and predicts the token in two steps: its class
 (softmax), and its slot in the class (softmax over that class's slots). Frequent tokens have a slot of their own; all others are hashed to
-slots, and share a slot's probability by their counts. It is trained where the documents are: each task goes over positions of
-all its documents, and what the tasks have learned is averaged by numbers of positions. The sum of conditional log-probabilities
+slots, and share a slot's probability by their counts. It is trained where the documents are: each task goes over every position
+of all its documents, and what the tasks have learned is averaged by numbers of positions. The sum of conditional log-probabilities
 scores a document.
 """
 
@@ -13,6 +13,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,11 +33,13 @@ APART = 1000
 CONTEXTS = 1 + APART + CLASSES
 #: Tokens whose counts every task has; counts of all others are joined.
 LISTED = 200_000
-#: Every ``STRIDE``-th position of each document is trained on, in steps of ``STEP`` positions; what a task learns is rounded
+#: Every position of each document is trained on, in steps of ``STEP`` positions; what a task learns is rounded
 #: to multiples of 2 ** -16, so that sums over tasks do not depend on their order.
-STRIDE, STEP, RATE = 8, 2048, 0.03
+STEP, RATE = 16_384, 0.03
 #: Tokens that are scored at a time, and models that one task adds up.
 CHUNK, ADDED = 16_384, 16
+#: Bytes of texts or of ids that a task handles at a time, and ids that it counts at a time: what a task holds besides its model.
+BYTES, COUNTED = 1_000_000, 1_000_000
 _SHAPES = {"embed": (len(OFFSETS), CONTEXTS, HIDDEN), "bias": (HIDDEN,), "class_w": (HIDDEN, CLASSES), "class_b": (CLASSES,), "slot_w": (CLASSES, SLOTS, HIDDEN), "slot_b": (CLASSES, SLOTS)}
 
 
@@ -43,6 +47,25 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text)
 
 
+class Places:
+    """Where ids lie among sorted ones: by their top bits, then along the few that share these, as ids are hashes."""
+
+    def __init__(self, ids: np.ndarray):
+        self.bits, self.ids = len(ids).bit_length() + 1, np.append(ids, np.iinfo(np.int64).max)
+        n = np.bincount(self._top(ids), minlength=1 << self.bits)
+        self.first, self.most = np.cumsum(n) - n, int(n.max())
+
+    def _top(self, ids: np.ndarray) -> np.ndarray:
+        return (ids >> (64 - self.bits)) + (1 << (self.bits - 1))
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places, and which ids are there."""
+        at = self.first[self._top(ids)]
+        for _ in range(self.most - 1):
+            at += self.ids[at] < ids
+        return at, (self.ids[at] == ids) & (at < len(self.ids) - 1)
+
+
 @dataclass
 class Vocabulary:
     """Own tokens sorted by id, with their code (class * SLOTS + slot) and rank; counts of listed tokens sorted by id; mass of codes."""
@@ -54,10 +77,17 @@ class Vocabulary:
     count: np.ndarray
     mass: np.ndarray
 
+    @cached_property
+    def _own(self) -> Places:
+        return Places(self.own)
+
+    @cached_property
+    def _listed(self) -> Places:
+        return Places(self.listed)
+
     def codes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes, rows of the window's embeddings, and which tokens are hashed."""
-        at = np.minimum(np.searchsorted(self.own, ids), max(len(self.own) - 1, 0))
-        known = self.own[at] == ids if len(self.own) else np.zeros(len(ids), dtype=bool)
+        at, known = self._own.find(ids)
         code = hashed_code(ids)
         code[known] = self.code[at[known]]
         row = 1 + APART + code // SLOTS
@@ -68,8 +98,7 @@ class Vocabulary:
 
     def share(self, ids: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log of the part of their slot that hashed tokens have, and which of them are not listed (for those: of a count of one)."""
-        at = np.minimum(np.searchsorted(self.listed, ids), max(len(self.listed) - 1, 0))
-        found = self.listed[at] == ids if len(self.listed) else np.zeros(len(ids), dtype=bool)
+        at, found = self._listed.find(ids)
         n = np.ones(len(ids))
         n[found] = self.count[at[found]]
         return np.log(n / (self.mass[code] + 1)), ~found
@@ -116,17 +145,12 @@ def windows(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarr
     return out
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
-
-
 def _hidden(m: dict[str, np.ndarray], window: np.ndarray) -> np.ndarray:
-    h = m["bias"] + m["embed"][0][window[0]]
+    h = np.take(m["embed"][0], window[0], axis=0)
+    there = np.empty_like(h)
     for k in range(1, len(OFFSETS)):
-        h += m["embed"][k][window[k]]
+        h += np.take(m["embed"][k], window[k], axis=0, out=there, mode="clip")
+    h += m["bias"]
     return np.tanh(h, out=h)
 
 
@@ -135,23 +159,64 @@ def _by_class(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(cls.astype(np.uint8), kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))])
 
 
+def _present(cuts: np.ndarray) -> list[tuple[int, slice]]:
+    return [(c, slice(cuts[c], cuts[c + 1])) for c in np.flatnonzero(np.diff(cuts)).tolist()]
+
+
+def _logits(m: dict[str, np.ndarray], ones: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of classes, and of the slots of each position's class, less the largest: a column for each position, as columns are summed
+    fast. ``ones`` has the hidden values and a one for the biases, for positions sorted by class."""
+    z = np.vstack([m["class_w"], m["class_b"]]).T @ ones.T
+    slot = np.concatenate([m["slot_w"], m["slot_b"][:, :, None]], 2)
+    s = np.empty((SLOTS, len(ones)), dtype=z.dtype)
+    for c, at in _present(cuts):
+        np.matmul(slot[c], ones[at].T, out=s[:, at])
+    z -= z.max(0)
+    s -= s.max(0)
+    return z, s
+
+
+def _with_one(h: np.ndarray) -> np.ndarray:
+    return np.concatenate([h, np.ones_like(h[:, :1])], 1)
+
+
 def log_probs(m: dict[str, np.ndarray], window: np.ndarray, code: np.ndarray) -> np.ndarray:
     """log P(class | window) + log P(slot | class, window)."""
-    h, cls = _hidden(m, window), code // SLOTS
-    z = h @ m["class_w"] + m["class_b"]
-    z -= z.max(1, keepdims=True)
-    out = z[np.arange(len(code)), cls].astype(np.float64)
-    out -= np.log(np.exp(z, out=z).sum(1))
-    order, cuts = _by_class(cls)
-    for c in np.flatnonzero(np.diff(cuts)).tolist():
-        at = order[cuts[c] : cuts[c + 1]]
-        z = h[at] @ m["slot_w"][c].T + m["slot_b"][c]
-        z -= z.max(1, keepdims=True)
-        own = z[np.arange(len(at)), code[at] % SLOTS]
-        out[at] += own - np.log(np.exp(z, out=z).sum(1))
+    order, cuts = _by_class(code // SLOTS)
+    code, out = code[order], np.zeros(len(code))
+    for x, own in zip(_logits(m, _with_one(_hidden(m, window[:, order])), cuts), divmod(code, SLOTS), strict=True):
+        out[order] += x[own, np.arange(len(code))]
+        out[order] -= np.log(np.exp(x, out=x).sum(0))
     return out
 
 
+def gradients(m: dict[str, np.ndarray], window: np.ndarray, code: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean of -log_probs."""
+    order, cuts = _by_class(code // SLOTS)
+    window, code = window[:, order], code[order]
+    h = _hidden(m, window)
+    ones = _with_one(h)
+    z, s = _logits(m, ones, cuts)
+    for x, own in zip((z, s), divmod(code, SLOTS), strict=True):
+        np.exp(x, out=x)
+        x /= x.sum(0)
+        x[own, np.arange(len(code))] -= 1
+    by_class, by_slot = (z @ ones).T, np.zeros((CLASSES, SLOTS, HIDDEN + 1), dtype=h.dtype)
+    dh = z.T @ m["class_w"].T
+    for c, at in _present(cuts):
+        by_slot[c] = s[:, at] @ ones[at]
+        dh[at] += s[:, at].T @ m["slot_w"][c]
+    dh *= 1 - h * h
+    embed = np.zeros_like(m["embed"])
+    for k in range(len(OFFSETS)):
+        order = np.argsort(window[k].astype(np.int16), kind="stable")
+        row = window[k][order]
+        begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        embed[k][row[begin]] = np.add.reduceat(dh[order], begin, axis=0)
+    g = {"embed": embed, "bias": dh.sum(0), "class_w": by_class[:-1], "class_b": by_class[-1], "slot_w": by_slot[:, :, :-1], "slot_b": by_slot[:, :, -1]}
+    return {k: v / len(code) for k, v in g.items()}
+
+
 class Trainer:
     """Adam steps over windows and codes."""
 
@@ -162,32 +227,11 @@ class Trainer:
         self.steps = self.positions = 0
 
     def step(self, window: np.ndarray, code: np.ndarray) -> None:
-        m, n, cls = self.m, len(code), code // SLOTS
-        h = _hidden(m, window)
-        d = _softmax(h @ m["class_w"] + m["class_b"])
-        d[np.arange(n), cls] -= 1
-        d /= n
-        g = {"class_w": h.T @ d, "class_b": d.sum(0), "slot_w": np.zeros_like(m["slot_w"]), "slot_b": np.zeros_like(m["slot_b"]), "embed": np.zeros_like(m["embed"])}
-        dh = d @ m["class_w"].T
-        order, cuts = _by_class(cls)
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
-            at = order[cuts[c] : cuts[c + 1]]
-            e = _softmax(h[at] @ m["slot_w"][c].T + m["slot_b"][c])
-            e[np.arange(len(at)), code[at] % SLOTS] -= 1
-            e /= n
-            g["slot_w"][c], g["slot_b"][c] = e.T @ h[at], e.sum(0)
-            dh[at] += e @ m["slot_w"][c]
-        dh *= 1 - h * h
-        g["bias"] = dh.sum(0)
-        for k in range(len(OFFSETS)):
-            order = np.argsort(window[k].astype(np.int16), kind="stable")
-            row = window[k][order]
-            begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            g["embed"][k][row[begin]] = np.add.reduceat(dh[order], begin, axis=0)
+        g = gradients(self.m, window, code)
         self.steps += 1
-        self.positions += n
+        self.positions += len(code)
         rate = RATE * min(1.0, self.steps / 10) / np.sqrt(1 + self.steps / 200)
-        for k, v in m.items():
+        for k, v in self.m.items():
             self.first[k] += 0.1 * (g[k] - self.first[k])
             self.second[k] += 0.01 * (g[k] * g[k] - self.second[k])
             v -= rate * (self.first[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.second[k] / (1 - 0.99**self.steps)) + 1e-7)
@@ -217,9 +261,9 @@ def _id_rows(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     hashes = Hashes()
-    for doc_ids, texts in text_batches(batches, "doc_id", "text"):
+    for doc_ids, texts in text_batches(batches, "doc_id", "text", most=BYTES):
         lists = [tokens(t) for t in texts]
-        flat = np.fromiter((hashes[w] for x in lists for w in x), dtype=np.uint64, count=sum(map(len, lists)))
+        flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lists)), dtype=np.uint64, count=sum(map(len, lists)))
         ends = np.cumsum([len(x) for x in lists])
         yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([p.tobytes() for p in np.split(flat, ends[:-1])], pa.binary())], ["doc_id", "ids"])
 
@@ -238,10 +282,10 @@ def _count_rows(batches: Iterator) -> Iterator:
         ids, n = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    for (parts,) in text_batches(batches, "ids", text="ids"):
+    for (parts,) in text_batches(batches, "ids", text="ids", most=BYTES):
         held.append(_laid(parts)[0])
         size += len(held[-1])
-        if size >= 4_000_000:
+        if size >= COUNTED:
             yield out()
             held, size = [], 0
     if held:
@@ -264,7 +308,7 @@ def _code_rows(own: np.ndarray):
 
 
 def learn(docs: DataFrame, ids: DataFrame | None = None, counts: DataFrame | None = None) -> Model:
-    """Counts all tokens of ``docs(doc_id, text)`` and trains the network on all documents."""
+    """Counts all tokens of ``docs(doc_id, text)`` and trains the network on every position of all documents."""
     sc = docs.sparkSession.sparkContext
     own_tables = []
     if ids is None:
@@ -287,25 +331,26 @@ def learn(docs: DataFrame, ids: DataFrame | None = None, counts: DataFrame | Non
         import pyarrow as pa
 
         known, first = start.value
-        trainer, held = Trainer(first), []
-        for docs_, parts in text_batches(batches, "doc_id", "ids", text="ids"):
+        trainer, held, size = Trainer(first), [], 0
+
+        def step() -> None:
+            trainer.step(np.concatenate([w for w, _ in held], axis=1), np.concatenate([c for _, c in held]))
+            held.clear()
+
+        for (parts,) in text_batches(batches, "ids", text="ids", most=BYTES):
             flat, ends = _laid(parts)
-            if not len(flat):
-                continue
             code_, rows, _ = known.codes(flat)
-            shift = mix64(np.array([len(p) for p in parts], dtype=np.uint64)).astype(np.int64) % STRIDE
             doc = np.repeat(np.arange(len(parts)), np.diff(ends))
-            at = np.flatnonzero((np.arange(len(flat)) - ends[doc] + shift[doc]) % STRIDE == 0)
-            held.append((windows(rows, ends[doc[at]], ends[doc[at] + 1], at), code_[at]))
-            if sum(len(h[1]) for h in held) >= STEP:
-                w, c = np.concatenate([h[0] for h in held], axis=1), np.concatenate([h[1] for h in held])
-                full = len(c) // STEP * STEP
-                for k in range(0, full, STEP):
-                    trainer.step(w[:, k : k + STEP], c[k : k + STEP])
-                held = [(w[:, full:], c[full:])]
-        w, c = (np.concatenate([h[0] for h in held], axis=1), np.concatenate([h[1] for h in held])) if held else (None, ())
-        if len(c):
-            trainer.step(w, c)
+            begin = 0
+            while begin < len(flat):
+                at = np.arange(begin, min(begin + STEP - size, len(flat)))
+                held.append((windows(rows, ends[doc[at]], ends[doc[at] + 1], at), code_[at]))
+                begin, size = begin + len(at), size + len(at)
+                if size == STEP:
+                    step()
+                    size = 0
+        if held:
+            step()
         if trainer.positions:
             fixed = np.round(_flat(trainer.m) * 65536).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([trainer.positions], pa.int64()), pa.array([fixed.tobytes()], pa.binary()), pa.array([True])], ["n", "sums", "single"])
@@ -349,7 +394,7 @@ def score(docs: DataFrame) -> DataFrame:
     are ignored; an empty table gives no rows. Equal counts are ordered by token id, so ties are broken alike everywhere.
 
     Whole texts are read once and their token ids (eight bytes each) written; all tokens are counted, summed within tasks before the
-    shuffle; the network has a fixed size (under 1 MB) and learns from every document. Tokens beyond the 200,000 most frequent
+    shuffle; the network has a fixed size (under 1 MB) and learns from every position. Tokens beyond the 200,000 most frequent
     ones are joined with their counts by (row, token), once a document. The driver gets these 200,000 counts and one network.
     """
     spark = docs.sparkSession
@@ -361,7 +406,7 @@ def score(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         words, net = model.value.words, model.value.net
-        for row_ids, doc_ids, parts in text_batches(batches, "row", "doc_id", "ids", text="ids"):
+        for row_ids, doc_ids, parts in text_batches(batches, "row", "doc_id", "ids", text="ids", most=BYTES):
             flat, ends = _laid(parts)
             code, rows, hashed = words.codes(flat)
             doc = np.repeat(np.arange(len(parts)), np.diff(ends))

@@ -103,6 +103,51 @@ def test_training_beats_counts_alone():
     assert abs(np.exp(lm.log_probs(trainer.m, np.repeat(w[:, 77:78], len(every), axis=1), every)).sum() - 1) < 1e-3
 
 
+def test_every_position_is_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(lm, "STEP", 500)
+    texts, _ = corpus()
+    model = lm.learn(documents(spark, texts).coalesce(1))
+    hashes, window, code = Hashes(), [], []
+    for t in texts:
+        own, rows, _ = model.words.codes(np.array([hashes[w] for w in lm.tokens(t or "")], dtype=np.uint64).view(np.int64))
+        window += [[rows[at + d] if 0 <= at + d < len(rows) else 0 for d in lm.OFFSETS] for at in range(len(rows))]
+        code += own.tolist()
+    window, code = np.array(window).T, np.array(code)
+    start = lm.empty_model(model.words.mass)
+    trainer = lm.Trainer(start)
+    for k in range(0, len(code), 500):
+        trainer.step(window[:, k : k + 500], code[k : k + 500])
+    assert len(code) % 500 and trainer.steps > 8
+    want, got, before = (lm.log_probs(m, window, code) for m in (trainer.m, model.net, start))
+    assert np.abs(got - want).max() < 0.01 and np.abs(before - want).mean() > 0.1
+
+
+def test_gradients_are_slopes():
+    rng = np.random.default_rng(2)
+    code = rng.integers(0, lm.CLASSES * lm.SLOTS, 40)
+    window = rng.integers(0, lm.CONTEXTS, (len(lm.OFFSETS), 40))
+    window[:, :20] = window[:, 20:]
+    code[:10] = code[10]
+    m = {k: rng.normal(0, 0.3, v.shape) for k, v in lm.empty_model(np.ones(lm.CLASSES * lm.SLOTS)).items()}
+    for name, g in lm.gradients(m, window, code).items():
+        for at in [np.unravel_index(np.abs(g).argmax(), g.shape), *map(tuple, np.argwhere(g)[rng.integers(0, np.count_nonzero(g), 5)])]:
+            up, down = (m | {name: m[name].copy()} for _ in range(2))
+            up[name][at] += 1e-5
+            down[name][at] -= 1e-5
+            slope = (lm.log_probs(down, window, code) - lm.log_probs(up, window, code)).mean() / 2e-5
+            assert abs(slope - g[at]) < 1e-7, (name, at)
+
+
+def test_places_of_ids():
+    rng = np.random.default_rng(4)
+    ends = np.iinfo(np.int64)
+    for n in (0, 1, 2, 900):
+        ids = np.unique(np.concatenate([rng.integers(ends.min, ends.max, n), np.arange(n)]))
+        asked = np.concatenate([ids, rng.integers(ends.min, ends.max, 500), np.arange(-3, n + 3), [ends.min, ends.max]])
+        at, found = lm.Places(ids).find(asked)
+        assert found.tolist() == np.isin(asked, ids).tolist() and (ids[at[found]] == asked[found]).all()
+
+
 def test_copies_score_above_single_documents(spark):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(6000)]
