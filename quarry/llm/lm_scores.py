@@ -40,6 +40,9 @@ STEP, RATE = 16_384, 0.03
 CHUNK, ADDED = 16_384, 16
 #: Bytes of texts or of ids that a task handles at a time, and ids that it counts at a time: what a task holds besides its model.
 BYTES, COUNTED = 1_000_000, 1_000_000
+#: Bytes of rows that Spark hands a task at a time: it holds several copies of these outside of its heap, and the task two more. Words
+#: whose hashes a task remembers.
+HANDED, REMEMBERED = 4_000_000, 100_000
 _SHAPES = {"embed": (len(OFFSETS), CONTEXTS, HIDDEN), "bias": (HIDDEN,), "class_w": (HIDDEN, CLASSES), "class_b": (CLASSES,), "slot_w": (CLASSES, SLOTS, HIDDEN), "slot_b": (CLASSES, SLOTS)}
 
 
@@ -260,7 +263,7 @@ def _id_rows(batches: Iterator) -> Iterator:
     """(doc_id, ids): the 64-bit ids of a document's tokens."""
     import pyarrow as pa
 
-    hashes = Hashes()
+    hashes = Hashes(REMEMBERED)
     for doc_ids, texts in text_batches(batches, "doc_id", "text", most=BYTES):
         lists = [tokens(t) for t in texts]
         flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lists)), dtype=np.uint64, count=sum(map(len, lists)))
@@ -312,8 +315,8 @@ def learn(docs: DataFrame, ids: DataFrame | None = None, counts: DataFrame | Non
     sc = docs.sparkSession.sparkContext
     own_tables = []
     if ids is None:
-        ids = materialize(documents(docs).mapInArrow(_id_rows, "doc_id long, ids binary"), "lm")
-        counts = materialize(ids.select("ids").mapInArrow(_count_rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm")
+        ids = materialize(documents(docs).mapInArrow(_id_rows, "doc_id long, ids binary"), "lm", HANDED)
+        counts = materialize(ids.select("ids").mapInArrow(_count_rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm", HANDED)
         own_tables = [ids, counts]
     top = counts.orderBy(F.desc("n"), "word").limit(LISTED).toPandas()
     word, n = top["word"].to_numpy(dtype=np.int64), top["n"].to_numpy(dtype=np.int64)
@@ -368,12 +371,12 @@ def learn(docs: DataFrame, ids: DataFrame | None = None, counts: DataFrame | Non
             yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in totals.values()], pa.int64()), pa.array([t[1].tobytes() for t in totals.values()], pa.binary()), pa.array([False] * len(totals))], ["n", "sums", "single"])
 
     schema = "n long, sums binary, single boolean"
-    learned = materialize(ids.mapInArrow(train, schema), "lm")
+    learned = materialize(ids.mapInArrow(train, schema), "lm", HANDED)
     left = learned.count()
     while left > 1:  # a task adds up a few models, so none, nor the driver, gets all of them
         left = -(-left // ADDED)
         dealt = learned.withColumn("g", F.pmod(F.xxhash64("sums"), F.lit(left))).repartition(left, "g")
-        after = materialize(dealt.mapInArrow(add, schema), "lm")
+        after = materialize(dealt.mapInArrow(add, schema), "lm", HANDED)
         discard(learned)
         learned = after
     rows = learned.collect()
@@ -398,8 +401,8 @@ def score(docs: DataFrame) -> DataFrame:
     ones are joined with their counts by (row, token), once a document. The driver gets these 200,000 counts and one network.
     """
     spark = docs.sparkSession
-    ids = materialize(documents(docs).mapInArrow(_id_rows, "doc_id long, ids binary").withColumn("row", F.monotonically_increasing_id()), "lm")
-    counts = materialize(ids.select("ids").mapInArrow(_count_rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm")
+    ids = materialize(documents(docs).mapInArrow(_id_rows, "doc_id long, ids binary").withColumn("row", F.monotonically_increasing_id()), "lm", HANDED)
+    counts = materialize(ids.select("ids").mapInArrow(_count_rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm", HANDED)
     model = spark.sparkContext.broadcast(learn(docs, ids.select("doc_id", "ids"), counts))
 
     def run(batches: Iterator) -> Iterator:
@@ -427,7 +430,7 @@ def score(docs: DataFrame) -> DataFrame:
                 m = len(pair)
                 yield pa.RecordBatch.from_arrays([pa.array(r[pair // len(kinds)]), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), pa.array(kinds[pair % len(kinds)]), pa.array(times.astype(np.int64))], ["row", "doc_id", "n_tokens", "log_prob", "word", "times"])
 
-    scored = materialize(ids.select("row", "doc_id", "ids").mapInArrow(run, "row long, doc_id long, n_tokens long, log_prob double, word long, times long"), "lm")
+    scored = materialize(ids.select("row", "doc_id", "ids").mapInArrow(run, "row long, doc_id long, n_tokens long, log_prob double, word long, times long"), "lm", HANDED)
     discard(ids)
     rare = scored.where("word is not null").join(counts.where("n > 1"), "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
     out = scored.where("word is null").join(rare, "row", "left")

@@ -156,5 +156,33 @@ def test_copies_score_above_single_documents(spark):
     assert np.mean([got[k] for k in range(30)]) > np.mean([got[k] for k in range(30, 140)]) + 0.3
 
 
+def test_rows_are_handed_over_in_small_batches(spark, monkeypatch, tmp_path):
+    rng = random.Random(12)
+    docs = documents(spark, [prose(rng, rng.randint(1, 400)) for _ in range(300)]).coalesce(1)
+    whole = {r["doc_id"]: r["log_prob"] for r in lm.score(docs).collect()}
+
+    def noted(batches, name):
+        for b in batches:
+            with open(f"{tmp_path}/{name}", "a") as f:
+                f.write(f"{b.nbytes} ")
+            yield b
+
+    def read(batches, *names, f=lm.text_batches, **more):
+        return f(noted(batches, "-".join(names)), *names, **more)
+
+    for name in ("_id_rows", "_count_rows"):  # sent to tasks by value, and so with ``read``
+        monkeypatch.setattr(lm, name, lambda batches, f=getattr(lm, name): f(batches))
+    monkeypatch.setattr(lm, "HANDED", 50_000, raising=False)
+    monkeypatch.setattr(lm, "text_batches", read)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = {r["doc_id"]: r["log_prob"] for r in lm.score(docs).collect()}
+    seen = {p.name: list(map(int, p.read_text().split())) for p in tmp_path.iterdir()}
+    assert seen.keys() == {"doc_id-text", "ids", "row-doc_id-ids"}  # for tokens, for counts and training, for scores
+    for name, sizes in seen.items():
+        assert sum(sizes) > 300_000 and max(sizes) < 60_000, (name, sizes)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert got.keys() == whole.keys() and all(abs(got[k] - whole[k]) < 1e-4 * (1 + abs(whole[k])) for k in got)
+
+
 def test_empty_table(spark):
     assert lm.score(documents(spark, ["a"]).limit(0)).count() == 0
