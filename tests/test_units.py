@@ -133,6 +133,47 @@ def test_vectors(spark):
     assert spark.sql("select array(0d, 0d) as a, array(1d, 2d) as b").select(vector.cosine(F.col("a"), F.col("b"))).first()[0] == 0.0
 
 
+def test_nearest_tiles_are_bounded(spark, monkeypatch):
+    """Small tiles, small steps and many blocks give the same rows as one tile, also under ties, and no similarities of all pairs are held."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(60, 8)), 3, axis=0)
+    ids, plain = np.arange(180), vector._unit(x)
+    rows = lambda tiles: list(zip(*[c.to_pylist() for c in tiles.columns()[:2]], strict=True))
+    whole, held = vector._Tiles(ids, plain, 4), []
+    whole.add(ids, plain)
+    sims = np.round(plain @ plain.T, 6)
+    want = [(i, j) for i in range(180) for j in sorted(set(range(180)) - {i}, key=lambda j: (-sims[i, j], j))[:4]]
+    assert rows(whole) == want
+    monkeypatch.setattr(vector, "TILE", 16)
+    monkeypatch.setattr(vector, "STEP", 32)
+    monkeypatch.setattr(vector, "FIRST_STEP", 8)
+    tile = vector._Best._tile
+    monkeypatch.setattr(vector._Best, "_tile", lambda self, name, y, codes: (held.append(len(self.ids) * len(y)), tile(self, name, y, codes)))
+    small = vector._Tiles(ids, plain, 4)
+    for start in range(0, 180, 50):
+        small.add(ids[start : start + 50], plain[start : start + 50])
+    assert rows(small) == want and max(held) <= 16 * 32
+
+
+def test_lsh_counts_close_codes_only(spark):
+    """What shares no code within a bit is left out, and pairs are judged in tiles: no join of codes is in the plan."""
+    import numpy as np
+
+    x = np.random.default_rng(6).normal(size=(120, 16))
+    v = spark.createDataFrame([(i, [float(f) for f in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    out = vector.nearest_lsh(v, v, 5, tables=2, bits=6, block=10, asked_rows=50, slice_rows=40)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    codes, sims = vector._codes(u, 2, 6, 7), np.round(u @ u.T, 6)
+    close = lambda i, j: any(bin(int(a ^ b)).count("1") <= 1 for a, b in zip(codes[i], codes[j], strict=True))
+    want = {(i, j) for i in range(120) for j in sorted((j for j in range(120) if j != i and close(i, j)), key=lambda j: (-sims[i, j], j))[:5]}
+    assert {(r["query_id"], r["vec_id"]) for r in out.collect()} == want
+    few = vector.nearest_lsh(v, v.where("vec_id < 9"), 5, tables=2, bits=6)
+    assert {(r["query_id"], r["vec_id"]) for r in few.collect()} == {p for p in want if p[0] < 9}
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_registered_lsh_recall(spark, sf):
     """The query with its own parameters, against the exact query on the whole table."""
