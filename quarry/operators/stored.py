@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.index import analyzed, posting_rows
+from quarry.operators.index import sorted_posting_rows
 from quarry.operators.lexical import Corpus, TermQuery
 from quarry.session import settle
 
@@ -20,18 +20,29 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets))
 
 
-def build(docs: DataFrame, path: str, analyzer: str = "main", buckets: int = 32, spread: int = 4) -> StoredIndex:
+#: Tokens whose postings a task sorts at a time, and bytes of a row group, of which a task holds one for each bucket.
+RUN, GROUP = 1 << 20, 4 << 20
+
+
+def build(docs: DataFrame, path: str, analyzer: str = "main", buckets: int = 32, spread: int = 0) -> StoredIndex:
     """Writes the index of ``docs(doc_id, text)`` to ``path`` and opens it. Documents have distinct ids (see ``index.latest``);
     a null text has no postings but counts as a document.
 
-    Terms are hashed to ``buckets`` folders, each sorted by term, so that a lookup opens a folder a term and skips all row
-    groups of other terms. A bucket is cut ``spread`` ways by document, so a term that every document has is no hot task. Both grow
-    with the corpus: take some 100 MB for a file.
+    Terms are hashed to ``buckets`` folders, so that a lookup opens a folder a term. Nothing is shuffled or spilled: each task sorts the
+    postings of its own documents in runs of ``RUN`` tokens by term and writes a file in each folder, so a lookup skips
+    the row groups and pages of other terms, and a term that every document has is no hot task. A table in fewer than ``spread``
+    partitions is dealt so many ways by document first.
     """
     spark = docs.sparkSession
-    rows = posting_rows(analyzed(docs, analyzer), marks=True).withColumn("bucket", _bucket(F.col("term"), buckets))
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(spread))).sortWithinPartitions("bucket", "term", "doc_id")
-    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+    if docs.rdd.getNumPartitions() < spread:
+        docs = docs.repartition(spread, "doc_id")
+    rows = sorted_posting_rows(docs, analyzer, RUN).withColumn("bucket", _bucket(F.col("term"), buckets))
+    name, before = "spark.sql.maxConcurrentOutputFileWriters", spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    spark.conf.set(name, str(buckets + 1))  # a task has a writer for each bucket; with one at a time, Spark would sort all rows
+    try:
+        rows.write.partitionBy("bucket").option("parquet.block.size", str(GROUP)).parquet(f"{path}/postings")
+    finally:
+        spark.conf.set(name, before)
     marks = spark.read.schema(SCHEMA).parquet(f"{path}/postings").where((F.col("bucket") == _bucket(F.lit(MARK), buckets)) & (F.col("term") == MARK))
     figures = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).first()
     about = {**figures.asDict(), "analyzer": analyzer, "buckets": buckets}

@@ -64,6 +64,34 @@ def test_stored_lookup_reads_its_terms(spark, tmp_path):
     assert len(at.lookup(["alpha"]).inputFiles()) > 0 and at.lookup(["alpha"]).count() == 50
 
 
+def test_stored_build_shuffles_nothing(spark, tmp_path, monkeypatch):
+    """Each task writes its own documents' postings, in runs sorted by term; runs of a few tokens give the same index."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    d = docs(spark, "the beta alpha", None, "", "alpha Alpha-gamma", "gamma " * 40, "é_a beta\x0bx")
+    for name in ("repartition", "sortWithinPartitions"):
+        monkeypatch.setattr(DataFrame, name, lambda *_: pytest.fail("rows are dealt anew or sorted by Spark"))
+    monkeypatch.setattr(stored, "RUN", 3)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    at = stored.build(d, str(tmp_path / "index"), buckets=3)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    got = {(r["term"], r["doc_id"], r["tf"], r["dl"], tuple(r["positions"])) for r in at.postings.where("term <> ''").collect()}
+    assert got == {("beta", 0, 1, 2, (0,)), ("alpha", 0, 1, 2, (1,)), ("alpha", 3, 2, 3, (0, 1)), ("gamma", 3, 1, 3, (2,)), ("gamma", 4, 40, 40, tuple(range(40))), ("_a", 5, 1, 2, (0,)), ("beta", 5, 1, 2, (1,))}
+    assert at.n == 6 and at.total == 47
+
+
+@pytest.mark.parametrize("analyzer", list(tx.ANALYZERS))
+def test_byte_tokens(spark, analyzer):
+    """Tokens told from bytes are those of the column function."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "b", "_", "7", " ", "\n", "\x0b", "É", "-", "The ", "ß", "本", ".", "İ", "K"]) for _ in range(rng.randint(0, 14))) for _ in range(150)]
+    rows = docs(spark, *texts).select(F.lower("text").alias("l"), tx.tokens(F.col("text"), analyzer).alias("ts")).collect()
+    assert index._byte_tokens(pa.array([r["l"] for r in rows]), analyzer).to_pylist() == [r["ts"] for r in rows]
+    assert index._byte_tokens(pa.array([], pa.string()), analyzer).to_pylist() == []
+
+
 def test_once(spark, tmp_path):
     """Made once for a table, and again when its files change."""
     from quarry.session import once
