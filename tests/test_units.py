@@ -139,6 +139,22 @@ def test_strings(spark):
     assert at[1]["q"] == [1, 4]
 
 
+def test_substrings_in_one_pass(spark):
+    """Places and their summary against Python, overlaps and letters beyond the basic plane included; a long rest without a match is read once."""
+    import time
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abab\n😀ó.") for _ in range(rng.randint(0, 25))) for _ in range(120)]
+    for p in ("a", "ab", "aba", "ó.", "😀a", "aa", "."):
+        got = docs(spark, *texts).select(tx.substring_positions(F.col("text"), F.lit(p)).alias("at"), tx.substring_summary(F.col("text"), p).alias("s")).collect()
+        for t, r in zip(texts, got, strict=True):
+            at = [i for i in range(len(t)) if t.startswith(p, i)]
+            assert r["at"] == at and (tuple(r["s"]) if r["s"] else None) == ((len(at), at[0], at[-1]) if at else None)
+    began = time.time()
+    row = docs(spark, "tion" + "x" * 400_000).select(tx.substring_positions(F.col("text"), F.lit("tion")).alias("at"), tx.substring_summary(F.col("text"), "tion").alias("s")).first()
+    assert row["at"] == [0] and tuple(row["s"]) == (1, 0, 0) and time.time() - began < 30
+
+
 def test_vectors(spark):
     import numpy as np
 
