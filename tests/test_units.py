@@ -155,6 +155,22 @@ def test_substrings_in_one_pass(spark):
     assert row["at"] == [0] and tuple(row["s"]) == (1, 0, 0) and time.time() - began < 30
 
 
+def test_repeated_runs_of_many_texts(spark):
+    """Many texts at once, against all substrings; a long run of one letter takes a few sorts, not a step a character."""
+    rng = random.Random(9)
+    for _ in range(40):
+        texts = ["".join(rng.choice("ab😀") for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(0, 6))]
+        want = []
+        for s in texts:
+            twice = [(j - i, -i) for i in range(len(s)) for j in range(i + 1, len(s) + 1) if s.find(s[i:j], i + 1) >= 0]
+            n, i = max(twice, default=(0, 1))
+            want.append((s[-i : n - i] if n else "", -i))
+        assert strings.repeated_runs(texts) == want
+    assert strings.repeated_runs(["x" * 200_000, "", "xy"]) == [("x" * 199_999, 0), ("", -1), ("", -1)]
+    rows = strings.longest_repeated(docs(spark, "abab", None, "abc")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == [(0, 0, 2, "ab"), (1, -1, 0, ""), (2, -1, 0, "")]
+
+
 def test_vectors(spark):
     import numpy as np
 
